@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from folio.llm import simhash
+from folio.llm import flac, simhash, tokens
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_token_files": tokens.op2_token_files,
+        "op3_flac": flac.op3_flac,
+    }
 
 
 def oracle_sql() -> dict:
