@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import flac, simhash, tokens
+from folio.llm import flac, language, simhash, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_token_files": tokens.op2_token_files,
         "op3_flac": flac.op3_flac,
+        "op4_language": language.op4_language,
     }
 
 
