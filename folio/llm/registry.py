@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import flac, language, simhash, tokens
+from folio.llm import classlm, flac, language, simhash, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_files": tokens.op2_token_files,
         "op3_flac": flac.op3_flac,
         "op4_language": language.op4_language,
+        "op5_class_lm": classlm.op5_class_lm,
     }
 
 
