@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import classlm, flac, language, simhash, tokens
+from folio.llm import classlm, flac, html, language, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_flac": flac.op3_flac,
         "op4_language": language.op4_language,
         "op5_class_lm": classlm.op5_class_lm,
+        "op7_html": html.op7_html,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
