@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folio.llm import classlm, flac, html, language, simhash, tokens, toxicity
+import corpus_pipeline
+from folio.llm import classlm, decontaminate, flac, html, language, pieces, rollup, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -12,10 +13,15 @@ def queries() -> dict:
         "op3_flac": flac.op3_flac,
         "op4_language": language.op4_language,
         "op5_class_lm": classlm.op5_class_lm,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_html": html.op7_html,
+        "op8_pieces": pieces.op8_pieces,
+        "op9_token_rollup": rollup.op9_token_rollup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    own = {"op6_decontaminate": decontaminate.ORACLE, "op9_token_rollup": rollup.ORACLE}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
