@@ -17,17 +17,26 @@ from folio.llm.common import materialize, scratch_path
 LEAST_LANGUAGE_SCORE = 0.15
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many _ in front as it takes to be new."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't predicted toxic; null and empty texts are scored like others."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")
+    return toxicity.score(docs.select(row, "text"), model, keep_text=False).where("predicted = 0").select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled ones have; without a letter, or unlike all of them, they go."""
     profiles = language.train_profiles(docs, F.lit(True))
-    told = language.identify(docs, profiles)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    told = language.identify(docs, profiles, names=(lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from folio.llm.common import byte_values, chunks, documents
 
 BLOCK = 1024
 RATE = 8000
-#: Payload bytes that are coded side by side.
+#: Payload bytes whose frames are coded side by side; a longer payload is coded in several goes.
 AT_ONCE = 1_500_000
 
 
@@ -101,7 +101,15 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     number = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
     start = np.repeat(np.cumsum(lens) - lens, frames) + number * BLOCK
     size = np.minimum(BLOCK, lens[owner] - number * BLOCK)
-    bodies, offsets = _encode_frames(data.astype(np.int32) - 128, start, size, number) if len(owner) else (b"", np.zeros(1, np.int64))
+    parts, offsets = [], [np.zeros(1, np.int64)]
+    for i in range(0, len(owner), AT_ONCE // BLOCK):
+        own = slice(i, i + AT_ONCE // BLOCK)
+        a = int(start[own][0])
+        x = data[a : int(start[own][-1] + size[own][-1])].astype(np.int32) - 128
+        part, ends = _encode_frames(x, start[own] - a, size[own], number[own])
+        parts.append(part)
+        offsets.append(offsets[-1][-1] + ends[1:])
+    bodies, offsets = b"".join(parts), np.concatenate(offsets)
     out, first = [], np.concatenate([[0], np.cumsum(frames)])
     for i, payload in enumerate(payloads):
         a, b = first[i], first[i + 1]
@@ -416,12 +424,13 @@ def decode(media: list[bytes]) -> list[Stream]:
     """Streams with their frames decoded and every checksum verified; FlacError names what is wrong."""
     data = b"".join(media)
     bits = _Bits(data)
-    streams, base, todo = [], 0, []
+    streams, base, waiting = [], 0, []
     for x in media:
         streams.append(s := Stream(x, base))
-        todo += [(s, p) for p in s.starts()]
+        waiting += [(s, p) for p in s.starts()]
         base += len(x)
-    while todo:
+    while waiting:
+        todo, waiting = waiting[: AT_ONCE // BLOCK], waiting[AT_ONCE // BLOCK :]
         heads = [_header(data, p, s.depth) for s, p in todo]
         channels = [2 if h[2] >= 8 else h[2] + 1 for h in heads]
         pos = [h[0] * 8 for h in heads]
@@ -454,7 +463,7 @@ def decode(media: list[bytes]) -> list[Stream]:
             s.frames[p] = (heads[i][1], np.stack([a, *rest]))
             if not s.points and ends[i] + 2 < s.end:
                 more.append((s, int(ends[i]) + 2))
-        todo = more
+        waiting += more
     for s in streams:
         frames = [s.frames[p] for p in sorted(s.frames)]
         at = np.cumsum([0, *(n for n, _ in frames)])

@@ -184,15 +184,21 @@ class Page:
     def main_text(self) -> str:
         density, sums, chars = self.densities()
         n, body = len(self.tag), self.tag.index("body") if "body" in self.tag else 0
-        up = lambda i: [i, *(up(self.parent[i]) if self.parent[i] >= 0 and i != body else [])]
+
+        def up(i: int) -> list[int]:
+            out = [i]
+            while i != body and self.parent[i] >= 0:
+                out.append(i := self.parent[i])
+            return out
+
         within = [False] * n
         for i in range(n):
             within[i] = i == body or self.parent[i] >= 0 and within[self.parent[i]]
         best = max((i for i in range(n) if within[i]), key=lambda i: (sums[i], -i))
         if not sums[best]:
             best = body
-        articles = [i for i in range(n) if within[i] and self.tag[i] in ("article", "main") and chars[i]]
-        outermost = [i for i in articles if not any(j in articles for j in up(i)[1:])]
+        articles = {i for i in range(n) if within[i] and self.tag[i] in ("article", "main") and chars[i]}
+        outermost = [i for i in sorted(articles) if articles.isdisjoint(up(i)[1:])]
         if holders := [i for i in up(best) if i in outermost]:
             best = holders[0]
         elif len(outermost) == 1 and best in up(outermost[0]):

@@ -142,6 +142,9 @@ def predict(texts: list[str | None], profiles: dict[str, list[str]], size: int =
     codes, owner = _spans([x or "" for x in texts])
     if not len(codes) or not profiles:
         return out
+    if len(texts) > 1 and 3 * len(np.unique(codes)).bit_length() + len(texts).bit_length() > 62:  # more than a key holds
+        half = len(texts) // 2
+        return predict(texts[:half], profiles, size) + predict(texts[half:], profiles, size)
     grams = Grams(codes, owner)
     order = np.lexsort((grams.key, -grams.count, grams.group))
     group, key = grams.group[order], grams.key[order]
@@ -172,12 +175,13 @@ def predict(texts: list[str | None], profiles: dict[str, list[str]], size: int =
     return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of docs and lang_pred, score (0 to 1: 1 - mean out-of-place distance / profile length).
 
-    Null texts, empty texts and texts without a letter have `und` and 0. Columns of these names are replaced.
+    Null texts, empty texts and texts without a letter have `und` and 0. Columns of these names are replaced;
+    names gives the two others.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
 
     def run(batches):
         for batch in batches:
@@ -186,10 +190,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "t
             for a, b in chunks([len(x or "") for x in texts], 2_000_000):
                 found += predict(texts[a:b], profiles)
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *names])
 
     had = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}, `{names[0]}` string, `{names[1]}` double")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm.common import documents, fold, materialize
 
@@ -45,6 +46,9 @@ FEATURES = (
 )
 
 
+_NAMES = [f"f{i}" for i in range(len(FEATURES))]
+
+
 def features(text: str, words: dict[str, float], starts: dict[str, float]) -> list[float]:
     """The FEATURES of a text; an empty one has zeros."""
     low = text.lower()
@@ -73,19 +77,19 @@ def features(text: str, words: dict[str, float], starts: dict[str, float]) -> li
     ]
 
 
-def with_features(rows: DataFrame, words: dict[str, float], starts: dict[str, float], text_col: str = "text") -> DataFrame:
-    """rows and the FEATURES as columns f0, f1, ... (columns of these names are replaced)."""
-    names = [f"f{i}" for i in range(len(FEATURES))]
-    kept = [c for c in rows.columns if c not in names]
+def with_features(rows: DataFrame, words: dict[str, float], starts: dict[str, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, f0, f1, ...): the columns of keep (None: all) as a struct, so none can clash, and the FEATURES of each text."""
+    keep = rows.columns if keep is None else keep
+    packed = rows.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text") if text_col not in keep else F.lit(None).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(kept.index(text_col)).to_pylist()
+            own = batch.column(0).field(keep.index(text_col)) if text_col in keep else batch.column(1)
+            texts = own.to_pylist()
             made = np.array([features(x or "", words, starts) for x in texts], np.float64).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[:, i]) for i in range(len(FEATURES)))], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, i]) for i in range(len(FEATURES)))], names=["row", *_NAMES])
 
-    had = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*[f"`{c}`" for c in kept]).mapInArrow(run, had + "".join(f", {x} double" for x in names))
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], *(T.StructField(n, T.DoubleType()) for n in _NAMES)]))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -150,7 +154,7 @@ class Model:
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="_features").transform(rows)
+    return VectorAssembler(inputCols=_NAMES, outputCol="_features").transform(rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Model:
@@ -166,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     rows = texts.join(F.broadcast(own), id_col).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(10)))
     rows = materialize(rows, "labelled")
     words, starts = learn_lexicon(rows.where("part < 4"))
-    made = with_features(rows.where("part >= 4").select("text", "toxic", "part"), words, starts).drop("text")
+    made = with_features(rows.where("part >= 4"), words, starts, keep=["toxic", "part"]).select("row.*", *_NAMES)
     made = _assembled(materialize(made, "features").coalesce(8).withColumn("label", F.col("toxic").cast("double")))
     kinds = dict(made.where("part < 8").groupBy("toxic").count().collect())
     prior = rows.agg(F.avg("toxic")).first()[0] or 0.0
@@ -184,11 +188,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     if model.trees is None:
         rows = docs.select(*[f"`{c}`" for c in kept], F.lit(float(model.prior)).alias("score"))
     else:
-        own = docs.select(*[f"`{c}`" for c in docs.columns if c in kept or c == text_col])
-        rows = model.trees.transform(_assembled(with_features(own, model.words, model.starts, text_col)))
-        rows = rows.withColumn("p", vector_to_array("probability")[1])
+        rows = model.trees.transform(_assembled(with_features(docs, model.words, model.starts, text_col, kept)))
+        rows = rows.select("row", vector_to_array("probability")[1].alias("p"))
         rows = model.steps.transform(rows) if model.steps is not None else rows.withColumn("_score", F.col("p"))
-        rows = rows.select(*[f"`{c}`" for c in kept], F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_score")).alias("score"))
+        rows = rows.select("row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_score")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
