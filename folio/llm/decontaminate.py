@@ -49,7 +49,7 @@ def template(text: str) -> str:
         when {digit.format("x")} then struct('<n>' as c, x as v)
         when x in ({marks}) then struct(cast(null as string) as c, cast(null as string) as v)
         when i > 0 and {digit.format("t[i - 1]")} and lower(x) in ({_quoted(UNITS)}) then struct('<u>' as c, lower(x) as v)
-        when i > 0 and x rlike '{NAME}' and not t[i - 1] in ({marks}) then struct('<a>' as c, lower(x) as v)
+        when i > 0 and not ascii(x) between 97 and 122 and x rlike '{NAME}' and not t[i - 1] in ({marks}) then struct('<a>' as c, lower(x) as v)
         else struct(lower(x) as c, cast(null as string) as v) end"""
     found = f"filter(transform(t, (x, i) -> {token}), y -> y.c is not null)"
     return _let("t", f"regexp_extract_all(coalesce({text}, ''), '{TOKEN}', 0)", found).replace("\\", "\\\\")
@@ -60,11 +60,11 @@ def windows(rows: DataFrame, id_col: str, text_col: str, sizes: list[int], own:
 
     sizes: the window lengths to take. own: each text takes only its longest size that fits (of the item side).
     """
-    take = lambda n: f"transform(sequence(1, size(y) - {n} + 1), i -> struct(i as pos, xxhash64(slice(h, i, {n})) as h, slice(y.v, i, {n}) as s))"
+    take = lambda n: f"transform(sequence(1, size(y) - {n} + 1), i -> struct(i as pos, xxhash64(slice(h, i, {n})) as h, slice(v, i, {n}) as s))"
     none = "cast(array() as array<struct<pos: int, h: bigint, s: array<string>>>)"
     top = max(sizes)
     parts = [f"case when size(y) >= {n} then {take(n)} else {none} end" if not own or n == top else f"case when size(y) = {n} then {take(n)} else {none} end" for n in sizes]
-    made = _let("y", template(f"`{text_col}`"), _let("h", "transform(y.c, z -> xxhash64(z))", f"concat({', '.join(parts)})"))
+    made = _let("y", template(f"`{text_col}`"), _let("h", "transform(y.c, z -> xxhash64(z))", _let("v", "y.v", f"concat({', '.join(parts)})")))
     return rows.select(F.col(id_col), F.explode(F.expr(made)).alias("w")).select(id_col, "w.pos", "w.h", "w.s")
 
 
