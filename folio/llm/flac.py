@@ -407,6 +407,8 @@ class Stream:
                 self.rate, self.channels, self.depth, self.total = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
                 self.md5 = body[18:34]
             elif kind == 3:
+                if len(body) != n or n % 18:
+                    raise FlacError("a seek table of a wrong size")
                 table = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
                 table = table[table["sample"] != np.uint64(0xFFFFFFFFFFFFFFFF)]
                 self.points = [(int(a), int(b), int(c)) for a, b, c in table]
@@ -422,6 +424,15 @@ class Stream:
 
 def decode(media: list[bytes]) -> list[Stream]:
     """Streams with their frames decoded and every checksum verified; FlacError names what is wrong."""
+    try:
+        return _decode(media)
+    except FlacError:
+        raise
+    except (IndexError, ValueError) as e:  # lengths and places that damage has made up
+        raise FlacError(f"damaged stream: {e}") from e
+
+
+def _decode(media: list[bytes]) -> list[Stream]:
     data = b"".join(media)
     bits = _Bits(data)
     streams, base, waiting = [], 0, []

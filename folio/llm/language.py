@@ -56,7 +56,7 @@ class Grams:
         self.bits = max(1, int(len(self.alphabet)).bit_length())
         b, one = self.bits, dense + 1
         group = owner << 3 * b
-        same = owner[1:] == owner[:-1]
+        same = (owner[1:] == owner[:-1]) & ((codes[1:] != _MARK_CODE) | (codes[:-1] != _MARK_CODE))
         two = (one[:-1] << b) | one[1:]
         parts = [(group | one)[codes != _MARK_CODE], (group[1:] | two)[same]]
         parts.append(((one[:-2] << 2 * b) | group[2:] | two[1:])[(owner[2:] == owner[:-2]) & (codes[1:-1] != _MARK_CODE)])
@@ -98,7 +98,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 if not len(codes):
                     continue
                 own = np.array([number[x] for x in langs[a:b]])[owner]
-                order = np.argsort(own, kind="stable")  # no n-gram crosses texts: each begins and ends with a mark
+                order = np.argsort(own, kind="stable")  # each text begins and ends with a mark, and two marks are no n-gram
                 grams = Grams(codes[order], own[order])
                 for g, k, n in zip(grams.group.tolist(), grams.key.tolist(), grams.count.tolist(), strict=True):
                     total[names[g], grams.text(k)] += n

@@ -38,7 +38,7 @@ SEED_WORDS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti toi vous votre ton ta tes du dich dir dein deine ihr euch usted ustedes vos tú".split())
 _WORD = re.compile(r"\w+")
-_OBFUSCATED = re.compile(r"[a-z]+[0-9@$*!]+[a-z0-9@$*!]*")
+_OBFUSCATED = re.compile(r"[0-9@$*!][a-z]")  # a sign that goes on as a letter
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 FEATURES = (
     "seed_density", "seed_hits", "learnt_density", "learnt_hits", "learnt_most", "start_density", "start_hits", "near_density",
@@ -46,6 +46,15 @@ FEATURES = (
 )
 
 
+def _solved(word: str, words: dict[str, float]) -> bool:
+    """Whether a word with signs for letters can be read as one of the lexicon; a * is any letter."""
+    read = {word.translate(_PLAIN), word.rstrip("!").translate(_PLAIN)}
+    if any(w in SEED_WORDS or w in words for w in read):
+        return True
+    fits = lambda a, b: len(a) == len(b) and all(x in ("*", y) for x, y in zip(a, b, strict=True))
+    return "*" in word and any(fits(w, b) for w in read for b in SEED_WORDS)
+
+
 _NAMES = [f"f{i}" for i in range(len(FEATURES))]
 
 
@@ -65,8 +74,8 @@ def features(text: str, words: dict[str, float], starts: dict[str, float]) -> li
             at = np.searchsorted(person, hits)
             p = np.array([-(10**9), *person, 10**9])
             near = int((np.minimum(np.abs(p[at] - hits), np.abs(p[at + 1] - hits)) <= NEAR).sum())
-    odd = _OBFUSCATED.findall(low)
-    solved = sum(x.translate(_PLAIN).replace("*", "") in SEED_WORDS or x.translate(_PLAIN) in words for x in odd)
+    odd = [w.strip(".,;:?()\"'") for w in low.split() if _OBFUSCATED.search(w)] if _OBFUSCATED.search(low) else []
+    solved = sum(_solved(w, words) for w in odd)
     by = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
     capitals, lower = int(by[65:91].sum()), int(by[97:123].sum())
     marks = int(by[33:48].sum() + by[58:65].sum() + by[91:97].sum() + by[123:127].sum())
