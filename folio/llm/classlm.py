@@ -33,7 +33,7 @@ CORE = 16_000
 GROUPS = 2_048
 ENDING = 4
 ROUNDS = 6
-#: Most frequent words whose counts each task holds.
+#: Most frequent words whose counts each task holds, at most.
 SCORED = 100_000
 #: Weight of class frequencies in transitions.
 SMOOTH = 20.0
@@ -189,12 +189,27 @@ class Model:
         return math.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
+def most_frequent(counts: DataFrame, most: int = SCORED) -> list[tuple[str, int]]:
+    """(word, n) of at most `most` words, none less frequent than one that is left out; by falling count and word.
+
+    A histogram over classes of counts (about nine to each doubling) gives the count to cut at, so the driver gets
+    these words and no more, however many tasks hold them.
+    """
+    level = F.floor(F.log2("n") * 9)
+    total, cut = 0, None
+    for at, n in sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True):
+        if total + n > most:
+            break
+        total, cut = total + n, at
+    rows = counts.where(level >= cut).select("word", "n").collect() if cut is not None else []
+    return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def train(texts: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, dict[bytes, int], dict[bytes, int]]:
     """(model, word counts, core items, counts of the SCORED most frequent words), all from whole texts."""
     counts = materialize(word_counts(texts, text_col), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(SCORED).collect()
-    frequent = {word.encode(): n for word, n in frequent}
+    frequent = {word.encode(): n for word, n in most_frequent(counts.where(F.col("word") != END))}
     core = {word: i + 1 for i, word in zip(range(CORE), frequent, strict=False)}
     items = CORE + 1 + GROUPS
     sequences = materialize(item_sequences(texts, core, text_col), "items")

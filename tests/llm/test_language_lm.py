@@ -132,3 +132,10 @@ def test_no_training_rows(spark):
     model, counts, core, frequent = classlm.train(df.where(fold("doc_id", 10) == 99))
     r = classlm.score(df, model, counts, core, frequent).first()
     assert r.n_tokens == 3 and r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0
+
+
+def test_most_frequent_words(spark):
+    df = spark.createDataFrame([(f"w{i:03}", n) for i, n in enumerate([1] * 50 + [2] * 10 + [100, 7, 7])], "word string, n long")
+    assert classlm.most_frequent(df) == sorted(((r.word, r.n) for r in df.collect()), key=lambda x: (-x[1], x[0]))
+    assert classlm.most_frequent(df, 20) == [("w060", 100), ("w061", 7), ("w062", 7), *((f"w{i:03}", 2) for i in range(50, 60))]
+    assert classlm.most_frequent(df, 2) == [("w060", 100)] and classlm.most_frequent(df, 0) == []
