@@ -60,7 +60,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian uint32) of documents whose ids decode to their text."""
     own = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    rows = pieces.decode(pieces.encode(own, pieces.model_path()), pieces.model_path())
+    rows = pieces.encode(own, pieces.model_path(), back=True)
     return rows.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("same"))
 
 

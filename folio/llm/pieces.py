@@ -13,11 +13,12 @@ last piece of the best way to there. Two kinds of model are read:
 
 from __future__ import annotations
 
-import os.path
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,10 @@ from folio.llm.common import chunks, documents
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a task keeps.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
+PAIRS_KEPT = 300_000
 #: Characters whose distinct words are sorted together.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 
 
 class Pieces:
@@ -76,35 +77,47 @@ class Pieces:
         if found is None:
             if len(self.pairs) > PAIRS_KEPT:
                 self.pairs.clear()
-            found = self.pairs[key] = self._merged(before + piece) == [before, piece]
+            found = self.pairs[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
         return found
 
-    def _step(self, word: str, end: int, last: list[str], total: list[float]) -> tuple[str, float]:
-        """The last piece of the way to `end`, given the ways to all places before, and its score."""
+    def _best(self, word: str, end: int, total: list[float]) -> tuple[str, float]:
+        """Unigram: the last piece of the best way to `end`, given the scores of the ways to all places before, and its score."""
         score = self.score
-        if self.kind == "bpe":
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if (piece in score or end - start == 1) and (not start or self._follows(last[start], piece)):
-                    if start or end - start == 1 or self._merged(piece) == [piece]:
-                        return piece, 0.0
-        best = (word[end - 1], total[end - 1] + (score[word[end - 1]] if word[end - 1] in score else self.worst))
+        best = (word[end - 1], total[end - 1] + score.get(word[end - 1], self.worst))
         for start in range(max(0, end - self.longest), end - 1):
             piece = word[start:end]
             if piece in score and total[start] + score[piece] > best[1]:
                 best = (piece, total[start] + score[piece])
         return best
 
+    def _only(self, word: str, end: int, last: list[str]) -> str:
+        """BPE: the last piece of the merge result of the letters up to `end`, given those of all places before."""
+        score, pairs = self.score, self.pairs
+        piece = ""
+        for start in range(max(0, end - self.longest), end):
+            piece = word[start:end]
+            if piece in score or end - start == 1:
+                found = pairs.get((last[start], piece))
+                if found or found is None and self._follows(last[start], piece):
+                    break
+        return piece
+
     def learn(self, words: set[str]) -> None:
         """Ids of all these words: one walk over their trie."""
         before, last, total = "", [""], [0.0]
+        bpe = self.kind == "bpe"
         for word in sorted(words):
-            shared = len(os.path.commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                piece, s = self._step(word, end, last, total)
-                last.append(piece)
-                total.append(s)
+                if bpe:
+                    last.append(self._only(word, end, last))
+                else:
+                    piece, s = self._best(word, end, total)
+                    last.append(piece)
+                    total.append(s)
             before, ids, end = word, [], len(word)
             while end:
                 piece = last[end]
@@ -114,14 +127,16 @@ class Pieces:
                 else:
                     ids.append(number)
                 end -= len(piece)
-            self.known[word] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian uint32."""
         cut = [self.words.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self.learn({w for own in cut for w in own if w not in self.known})
+        words = {w for own in cut for w in own}
+        if len(self.known) > WORDS_KEPT:  # what comes again stays
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.learn({w for w in words if w not in self.known})
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -139,20 +154,27 @@ def _pieces(path: str, kind: str) -> Pieces:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text") -> DataFrame:
-    """All columns of docs and ids (little-endian uint32), n_tokens. Null and empty texts have no ids; whole texts are taken."""
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text", back: bool = False) -> DataFrame:
+    """All columns of docs and ids (little-endian uint32), n_tokens and, with back, decoded: the text that decoding the ids gives.
+
+    Null and empty texts have no ids; whole texts are taken. Columns of these names are replaced.
+    """
+    new = {"ids": pa.binary(), "n_tokens": pa.int64()} | ({"decoded": pa.string()} if back else {})
+    kept = [c for c in docs.columns if c not in new]
 
     def run(batches):
         own = _pieces(model, kind)
         for batch in batches:
-            texts = [x or "" for x in batch.column(kept.index(text_col)).to_pylist()]
-            ids = [x for a, b in chunks([len(x) for x in texts], AT_ONCE) for x in own.encode(texts[a:b])]
-            new = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "ids", "n_tokens"])
+            column = batch.column(kept.index(text_col))
+            for a, b in chunks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), AT_ONCE):
+                ids = own.encode([x or "" for x in column.slice(a, b - a).to_pylist()])
+                made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if back:
+                    made.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *made], names=[*kept, *new])
 
     had = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}ids binary, n_tokens long")
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}ids binary, n_tokens long" + ", decoded string" * back)
 
 
 def decode(rows: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids") -> DataFrame:
@@ -178,6 +200,6 @@ def model_path() -> str:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256, same (the decoded text is the text) of every document."""
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), model_path()), model_path())
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), model_path(), back=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same"))
