@@ -24,6 +24,10 @@ from folio.llm.common import chunks, documents, fold
 PROFILE = 300
 #: The most training documents that are used (about; chosen by a hash of the id), spread over all of them.
 TRAIN_DOCS = 40_000
+#: Characters whose n-grams are counted together; the arrays take about 100 bytes for each.
+AT_ONCE = 500_000
+#: Counted n-grams that a task holds.
+COUNTS_KEPT = 120_000
 MARK = "_"
 _MARK_CODE = 1  # sorts before every letter
 
@@ -93,7 +97,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = sorted(set(langs))
             number = {x: i for i, x in enumerate(names)}
-            for a, b in chunks([len(x) for x in texts]):
+            for a, b in chunks([len(x) for x in texts], AT_ONCE):
                 codes, owner = _spans(texts[a:b])
                 if not len(codes):
                     continue
@@ -102,7 +106,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 grams = Grams(codes[order], own[order])
                 for g, k, n in zip(grams.group.tolist(), grams.key.tolist(), grams.count.tolist(), strict=True):
                     total[names[g], grams.text(k)] += n
-                if len(total) > 500_000:
+                if len(total) > COUNTS_KEPT:
                     yield _counted(total)
                     total.clear()
         if total:
@@ -187,7 +191,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "t
         for batch in batches:
             texts = batch.column(kept.index(text_col)).to_pylist()
             found: list[tuple[str, float]] = []
-            for a, b in chunks([len(x or "") for x in texts], 2_000_000):
+            for a, b in chunks([len(x or "") for x in texts], AT_ONCE):
                 found += predict(texts[a:b], profiles)
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *names])

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,10 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import documents, fold, materialize
+from folio.llm.common import chunks, documents, fold, materialize
 
 #: About so many labelled rows are learnt from at most; with more, a hash of the id picks them.
 TRAIN_ROWS = 24_000
+#: Terms that a task counts before it hands them on, and characters that it turns into features together.
+TERMS_KEPT = 100_000
+AT_ONCE = 2_000_000
 #: Learnt lexicon entries.
 LEXICON = 500
 BEGINNINGS = (4, 5, 6)
@@ -94,9 +98,10 @@ def with_features(rows: DataFrame, words: dict[str, float], starts: dict[str, fl
     def run(batches):
         for batch in batches:
             own = batch.column(0).field(keep.index(text_col)) if text_col in keep else batch.column(1)
-            texts = own.to_pylist()
-            made = np.array([features(x or "", words, starts) for x in texts], np.float64).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, i]) for i in range(len(FEATURES)))], names=["row", *_NAMES])
+            for a, b in chunks(pc.fill_null(pc.utf8_length(own), 0).to_pylist(), AT_ONCE):
+                texts = own.slice(a, b - a).to_pylist()
+                made = np.array([features(x or "", words, starts) for x in texts], np.float64).reshape(len(texts), len(FEATURES))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(made[:, i]) for i in range(len(FEATURES)))], names=["row", *_NAMES])
 
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], *(T.StructField(n, T.DoubleType()) for n in _NAMES)]))
 
@@ -126,7 +131,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 for term, n in own.items():
                     docs[term, toxic] += 1
                     times[term, toxic] += n
-                if len(docs) > 300_000:
+                if len(docs) > TERMS_KEPT:
                     yield flush()
         if docs:
             yield flush()
