@@ -27,7 +27,7 @@ from folio.llm.common import byte_values, documents, scratch_path
 MAGIC = b"EFT1"
 HEAD = np.dtype([("part", "<u4"), ("block", "<u4"), ("width", "<u4"), ("low", "<u4"), ("docs", "<u8"), ("ids", "<u8")])
 #: A block ends with the document that reaches so many ids.
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 8_000_000
 #: Distinct words whose ids a task keeps.
 WORDS_KEPT = 300_000
 #: One of so many high bits' ones has its place stored.
