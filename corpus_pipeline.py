@@ -1,7 +1,8 @@
 """The corpus pipeline over documents.
 
 Toxic documents go, then those without a recognised language, then all but one of each group of near
-duplicates, then those that leak benchmark items; what is left is encoded. Every stage works on all rows that
+duplicates by SimHash, then those that leak benchmark items, then all but one of each group of near copies by
+five-word shingles; what is left is encoded. Every stage works on all rows that
 the one before has kept.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, language, pieces, simhash, toxicity
+from folio.llm import decontaminate, language, nearcopies, pieces, simhash, toxicity
 from folio.llm.common import materialize, scratch_path
 
 #: Mean out-of-place score below which a prediction is no more than chance.
@@ -57,6 +58,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of texts that share 0.8 of their five-word shingles; null ids stay."""
+    gone = materialize(nearcopies.groups(docs).select(F.col("node").alias("doc_id")), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian uint32) of documents whose ids decode to their text."""
     own = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
@@ -69,6 +76,7 @@ STAGES = [
     ("language", keep_languages),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_leaks),
+    ("near_copies", drop_near_copies),
     ("pieces", encode),
 ]
 
