@@ -3,15 +3,17 @@
 A text's words and numbers become template tokens: a number is <n>, a unit of measure behind a number <u>,
 a capitalised word within a sentence <a>, any other word itself in lower case. Windows of WINDOW
 template tokens of the benchmark are joined by hash with all windows of the documents. A document
-leaks an item if windows that cover enough of the item occur in it and, on the alignment with most
-windows, the placeholders' values map one to one: the same value in the item is the same value in
-the document and the other way round. So a question with other numbers, names or units is found,
+leaks an item if windows that cover enough of the item occur in it and, on an alignment that has
+them, the placeholders' values map one to one: the same value in the item is the same value in
+the document and the other way round. Each alignment (place in the document less place in the item) is
+tested on its own, so one instance of a template doesn't hide another. So a question with other numbers, names or units is found,
 and a text that merely has the same shape isn't.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm.common import documents, materialize
@@ -90,16 +92,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     totals = bench.groupBy("item").agg(F.countDistinct("pos").alias("windows"))
     covered = pairs.groupBy("doc", "item").agg(F.countDistinct("at").alias("matched")).join(totals, "item")
     covered = covered.where(F.col("matched") >= coverage * F.col("windows"))
-    # slots on the alignment (place in the document less place in the item) with most windows, the first of those
-    lined = pairs.withColumn("shift", F.col("pos") - F.col("at"))
-    best = lined.groupBy("doc", "item", "shift").agg(F.countDistinct("at").alias("n"))
-    best = best.groupBy("doc", "item").agg(F.min(F.struct(-F.col("n"), "shift"))["shift"].alias("shift"))
+    covered = materialize(covered, "covered")
+    # slots on each alignment; its windows are counted with those of alignments up to a quarter or half of the item away
+    width = F.greatest(F.lit(1), F.floor(F.col("windows") / 4))
+    lined = pairs.join(covered.select("doc", "item", width.alias("width")), ["doc", "item"]).withColumn("shift", F.col("pos") - F.col("at"))
+    lined = lined.withColumn("bin", F.floor(F.col("shift") / F.col("width")))
+    around = lined.select("doc", "item", "at", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"))
+    around = around.groupBy("doc", "item", "bin").agg(F.countDistinct("at").alias("near"))
+    shifts = lined.groupBy("doc", "item", "shift", "bin").agg(F.countDistinct("at").alias("n"))
     zipped = F.expr("filter(arrays_zip(value, s), z -> z.value is not null)")
-    slots = lined.join(best, ["doc", "item", "shift"]).select("doc", "item", F.explode(zipped).alias("z"))
-    slots = slots.select("doc", "item", F.col("z.value").alias("a"), F.col("z.s").alias("b")).distinct()
-    found = slots.groupBy("doc", "item").agg(F.countDistinct("a").alias("left"), F.countDistinct("b").alias("right"), F.count("*").alias("slots"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("changed"))
-    leaks = covered.join(found, ["doc", "item"], "left")
-    leaks = leaks.where("slots is null or (slots = `left` and slots = `right`)")
+    slots = lined.select("doc", "item", "shift", F.explode(zipped).alias("z"))
+    slots = slots.select("doc", "item", "shift", F.col("z.value").alias("a"), F.col("z.s").alias("b")).distinct()
+    found = slots.groupBy("doc", "item", "shift").agg(F.countDistinct("a").alias("left"), F.countDistinct("b").alias("right"), F.count("*").alias("slots"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("changed"))
+    shifts = shifts.join(found, ["doc", "item", "shift"], "left").join(around, ["doc", "item", "bin"])
+    # the alignment with most windows, the first of those, needs no more than the coverage of the whole document
+    best = F.row_number().over(W.partitionBy("doc", "item").orderBy(F.desc("n"), "shift")) == 1
+    shifts = shifts.withColumn("best", best).where("slots is null or (slots = `left` and slots = `right`)")
+    leaks = covered.join(shifts, ["doc", "item"]).where(F.col("best") | (F.col("near") >= coverage * F.col("windows")))
+    leaks = leaks.groupBy("doc", "item", "windows", "matched").agg(F.min(F.struct(-F.col("n"), "shift", "slots", "changed")).alias("at"))
+    leaks = leaks.select("doc", "item", "windows", "matched", "at.slots", "at.changed")
     return leaks.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"),
         F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("changed", F.lit(0)).alias("changed"),
