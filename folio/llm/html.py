@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree. Boilerplate elements (by tag, role, class or id) are cut off. For every node the
+Each page becomes a tree. Boilerplate elements are cut off by tag or role; by class or id, and forms, only if they
+don't have most of the text or hold an article, and never if nothing else is left. For every node the
 composite density is its characters per tag, adjusted by its share of link text; the node whose
 children's densities have the largest sum is the article. The smallest density on its path to
 body is the threshold: other subtrees at or above it, off that path, have their own maximum-sum
@@ -38,7 +39,9 @@ _CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-_CUT_TAGS = frozenset("head nav footer aside form button select menu dialog svg canvas object video audio fieldset".split())
+_CUT_TAGS = frozenset("head nav footer aside button select menu dialog svg canvas object video audio".split())
+#: Cut like elements with the names below: where their texts agree.
+_SUSPECT_TAGS = frozenset(["form", "fieldset"])
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _CUT_NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside ad ads adsense advert adverts advertisement "
@@ -47,33 +50,38 @@ _CUT_NAMES = frozenset(
 )
 _CUT_OUTSIDE = frozenset(["header", "masthead", "banner", "topbar"])  # unless within the article
 _NAME = re.compile(r"[a-z]+", re.I)
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
+def _is_cut(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
+    """(whether an element goes; what else speaks against it: its tag and names, or an empty text)."""
     if tag in _CUT_TAGS or tag == "header" and not inside:
-        return True
+        return True, ""
+    against = tag if tag in _SUSPECT_TAGS else ""
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, ""
         if name == "role" and value.lower() in _CUT_ROLES:
-            return True
+            if value.lower() != "form":
+                return True, ""
+            against = against or tag
         if name in ("class", "id"):
             words = {x.lower() for x in _NAME.findall(_SPLIT_CAMEL.sub(" ", value))}
             if words & _CUT_NAMES or not inside and words & _CUT_OUTSIDE:
-                return True
-    return False
+                against = f"{against} {tag} {value}"
+    return False, against
 
 
 class Page:
-    """The tree of a page without its boilerplate: node i has tag[i], parent[i] < i; runs are (node, text) in page order."""
+    """The tree of a page, its boilerplate cut or gone: node i has tag[i], parent[i] < i; runs are (node, text) in page order."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
         self.tag, self.parent = ["html"], [-1]
+        self.against = [""]  # of each node, why it may go
         self.runs: list[tuple[int, str]] = []
         open_: list[tuple[str, int]] = [("html", 0)]  # node -1: within a part that is cut off
         cut = 0  # open elements from the cut one on
@@ -124,16 +132,60 @@ class Page:
                 continue
             if cut:
                 open_.append((tag, -1))
-            elif tag not in ("html", "body") and _is_cut(tag, attrs, inside > 0):
-                open_.append((tag, -1))
-                cut = len(open_)
             else:
-                open_.append((tag, self._add(tag, open_[-1][1])))
+                goes, against = _is_cut(tag, attrs, inside > 0) if tag not in ("html", "body") else (False, "")
+                if goes:
+                    open_.append((tag, -1))
+                    cut = len(open_)
+                else:
+                    open_.append((tag, self._add(tag, open_[-1][1], against)))
             inside += tag in ("article", "main")
+        self.gone = self._cut_by_name() if by_name else [False] * len(self.tag)
+        self.runs = [(node, text) for node, text in self.runs if not self.gone[node]]
+
+    def _cut_by_name(self) -> list[bool]:
+        """Which nodes go: those under a name of boilerplate, unless their texts say otherwise.
 
-    def _add(self, tag: str, parent: int) -> int:
+        Elements of the same names are judged together and stay if they have most of the page's text. One that
+        holds an article stays if most of its text isn't links. So does an article, if all articles have such names.
+        """
+        n = len(self.tag)
+        gone = [False] * n
+        if not any(self.against):
+            return gone
+        chars, links, holds = [0] * n, [0] * n, [False] * n
+        for node, text in self.runs:
+            chars[node] += len(" ".join(text.split())) if text != "\n" else 0
+        for i in range(n - 1, -1, -1):
+            if self.tag[i] == "a":
+                links[i] = chars[i]
+            own = self.tag[i] in ("article", "main") and not self.against[i] and chars[i] > 0
+            if (p := self.parent[i]) >= 0:
+                chars[p] += chars[i]
+                links[p] += links[i]
+                holds[p] = holds[p] or holds[i] or own
+            holds[i] = holds[i] or own
+        kept_alone = not holds[0]
+        shares: dict[str, int] = {}
+        outer = [""] * n  # names of the elements around that are counted already
+        for i in range(1, n):
+            outer[i] = outer[self.parent[i]]
+            if (name := self.against[i]) and f"\n{name}\n" not in outer[i]:
+                shares[name] = shares.get(name, 0) + chars[i]
+                if len(outer[i]) < 10_000:
+                    outer[i] += f"\n{name}\n"
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]]
+            if gone[i] or not self.against[i] or 2 * shares[self.against[i]] > chars[0]:
+                continue
+            article = holds[i] or kept_alone and self.tag[i] in ("article", "main")
+            gone[i] = not article or 2 * links[i] >= chars[i]
+        return gone
+
+    def _add(self, tag: str, parent: int, against: str = "") -> int:
         self.tag.append(tag)
         self.parent.append(parent)
+        self.against.append(against)
         return len(self.tag) - 1
 
     @staticmethod
@@ -161,6 +213,8 @@ class Page:
             chars[node] += len(" ".join(text.split())) if text != "\n" else 0
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
+            if self.gone[i]:
+                continue
             if self.tag[i] == "a":
                 link_chars[i], link_tags[i] = chars[i], tags[i] + 1
             chars[p] += chars[i]
@@ -193,7 +247,7 @@ class Page:
 
         within = [False] * n
         for i in range(n):
-            within[i] = i == body or self.parent[i] >= 0 and within[self.parent[i]]
+            within[i] = not self.gone[i] and (i == body or self.parent[i] >= 0 and within[self.parent[i]])
         best = max((i for i in range(n) if within[i]), key=lambda i: (sums[i], -i))
         if not sums[best]:
             best = body
@@ -218,7 +272,7 @@ class Page:
 
 def main_text(source: str | None) -> str:
     """The main text of a page; empty if it has none. Null is empty."""
-    return Page(source).main_text() if source else ""
+    return Page(source).main_text() or Page(source, by_name=False).main_text() if source else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
