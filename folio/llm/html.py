@@ -5,7 +5,7 @@ don't have most of the text or hold an article, and never if nothing else is lef
 composite density is its characters per tag, adjusted by its share of link text; the node whose
 children's densities have the largest sum is the article. The smallest density on its path to
 body is the threshold: other subtrees at or above it, off that path, have their own maximum-sum
-node taken too.
+node taken too, and headings before the article on its way to body are part of it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in "script style textarea title noscript iframe xmp template".split()}
 _BLOCK = frozenset(
@@ -55,7 +56,7 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _is_cut(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """(whether an element goes; what else speaks against it: its tag and names, or an empty text)."""
+    """(whether an element goes; what else speaks against it: its tag and names, with a ! if a whole name does, or an empty text)."""
     if tag in _CUT_TAGS or tag == "header" and not inside:
         return True, ""
     against = tag if tag in _SUSPECT_TAGS else ""
@@ -72,7 +73,8 @@ def _is_cut(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
         if name in ("class", "id"):
             words = {x.lower() for x in _NAME.findall(_SPLIT_CAMEL.sub(" ", value))}
             if words & _CUT_NAMES or not inside and words & _CUT_OUTSIDE:
-                against = f"{against} {tag} {value}"
+                whole = not _CUT_NAMES.isdisjoint(value.lower().split())
+                against = f"{'!' * whole}{against} {tag} {value}"
     return False, against
 
 
@@ -146,8 +148,8 @@ class Page:
     def _cut_by_name(self) -> list[bool]:
         """Which nodes go: those under a name of boilerplate, unless their texts say otherwise.
 
-        Elements of the same names are judged together and stay if they have most of the page's text. One that
-        holds an article stays if most of its text isn't links. So does an article, if all articles have such names.
+        Elements of the same names are judged together and stay if they have most of the page's text, but not beside
+        an article if a whole class or id is a name of boilerplate. One that holds an article stays if most of its text isn't links. So does an article, if all articles have such names.
         """
         n = len(self.tag)
         gone = [False] * n
@@ -174,9 +176,14 @@ class Page:
                 shares[name] = shares.get(name, 0) + chars[i]
                 if len(outer[i]) < 10_000:
                     outer[i] += f"\n{name}\n"
+        within = [False] * n
         for i in range(1, n):
             gone[i] = gone[self.parent[i]]
-            if gone[i] or not self.against[i] or 2 * shares[self.against[i]] > chars[0]:
+            within[i] = within[self.parent[i]] or self.tag[i] in ("article", "main") and not self.against[i]
+            if gone[i] or not self.against[i]:
+                continue
+            beside = not (kept_alone or holds[i] or within[i]) and "!" in self.against[i]
+            if 2 * shares[self.against[i]] > chars[0] and not beside:
                 continue
             article = holds[i] or kept_alone and self.tag[i] in ("article", "main")
             gone[i] = not article or 2 * links[i] >= chars[i]
@@ -261,10 +268,19 @@ class Page:
         threshold = min(density[i] for i in path)
         chosen = [False] * n
         chosen[best] = True
-        if best != body and not outermost:  # other parts of the page that are as dense as the way to the article
-            for i in range(n):
-                if within[i] and i not in path and self.parent[i] in path and self.parent[i] != best and threshold and density[i] >= threshold and sums[i] >= sums[best] / 4:
-                    chosen[i] = True
+        densest = list(range(n))  # of each subtree, the node with the largest sum, the outermost of those
+        for i in range(n - 1, 0, -1):
+            if within[i] and i != body:
+                p = self.parent[i]
+                if (sums[densest[i]], -densest[i]) > (sums[densest[p]], -densest[p]):
+                    densest[p] = densest[i]
+        for i in range(n):  # other parts of the page that are as dense as the way to the article
+            if not within[i] or i in path:
+                continue
+            if threshold and density[i] >= threshold:
+                chosen[densest[i]] = True
+            elif self.tag[i] in _HEADINGS and i < best and self.parent[i] in path:  # what the article begins with
+                chosen[i] = True
         for i in range(1, n):
             chosen[i] = chosen[i] or chosen[self.parent[i]]
         return " ".join("".join(text if chosen[node] else "\n" if text == "\n" else "" for node, text in self.runs).split())
