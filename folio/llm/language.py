@@ -22,7 +22,7 @@ from folio.llm.common import chunks, documents, fold
 
 #: N-grams of a profile.
 PROFILE = 300
-#: The most training documents that are used (about; chosen by a hash of the id), spread over all of them.
+#: The most training documents that are used (about; chosen by a hash of the id), in equal shares of the languages that have more.
 TRAIN_DOCS = 40_000
 #: Characters whose n-grams are counted together; the arrays take about 100 bytes for each.
 AT_ONCE = 500_000
@@ -124,13 +124,21 @@ def _counted(total: Counter) -> pa.RecordBatch:
 def train_profiles(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, most: int = TRAIN_DOCS) -> dict[str, list[str]]:
     """{language: its n-grams, most frequent first}, from rows that meet `train` and have a language.
 
-    `most` bounds the rows used: with more, those whose id hashes to zero modulo the excess are taken.
+    `most` bounds the rows used (about), by language: those that have no more than an equal share of it are
+    taken whole, and of the others as much each as is left, by a hash of the id.
     Ties are broken by n-gram. At most size x languages rows come to the driver.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    every = -(-rows.count() // most)
-    if every > 1:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
+    found = sorted((n, lang) for lang, n in rows.groupBy(lang_col).count().collect())
+    left, keep = most, []
+    for i, (n, lang) in enumerate(found):
+        share = left / (len(found) - i)
+        if n > share:
+            keep += [F.lit(lang), F.lit(max(1, int(share / n * (1 << 30))))]
+        left -= min(n, share)
+    if keep:
+        part = F.try_element_at(F.create_map(*keep), F.col(lang_col))
+        rows = rows.where(part.isNull() | (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < part))
     counts = gram_counts(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= size)
