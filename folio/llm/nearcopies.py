@@ -1,4 +1,7 @@
-"""Near copies by five-word shingles: all pairs whose shingle sets have a Jaccard similarity of 0.8 or more.
+"""Verification of near duplicates on five-word shingles: all pairs whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+SimHash at 3 bits finds but few of these (at 0.8, fingerprints of 64 bits differ in ten on the average, and a radius
+that takes in nearly all pairs, about 19 bits, leaves no selective key), so it isn't the only source of candidates.
 
 Each text has 128 minhashes, and each run of four of them is a key. A pair at similarity 0.8 shares at least
 one of the 32 keys but for one in 20 million (1 - 0.8 ^ 4, to the 32nd), a more similar one sooner. Keys only
@@ -11,6 +14,7 @@ minhashes don't rule out 0.8 (at it, fewer than LEAST_EQUAL of 128 agree once in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
@@ -131,9 +135,10 @@ def _runs(batches):
         yield block()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", proposed: Sequence[DataFrame] = ()) -> DataFrame:
     """(node, root) of every id that isn't the smallest one of its group; groups are joined by near copies.
 
+    proposed: tables (id_col, component_id) of groups whose members are held against the group's smallest id too.
     Rows with null ids are left out. Texts without words are copies of each other.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -141,7 +146,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keyed = signed.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v < last").select("key", "v")
     keyed = materialize(_dealt_join(keyed, shared, "key"), "keyed")
-    first = materialize(keyed.where("id != v").select(F.col("id").alias("u"), "v").distinct(), "pairs")
+    first = keyed.where("id != v").select(F.col("id").alias("u"), "v")
+    for found in proposed:
+        first = first.union(found.select(F.col(id_col).cast("long"), F.col("component_id").cast("long")).where(F.col(id_col) != F.col("component_id")))
+    first = materialize(first.distinct(), "pairs")
     edges = materialize(verified(first, texts), "verified")
     roots = materialize(components(edges), "roots")
     left = keyed.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -13,6 +13,7 @@ last piece of the best way to there. Two kinds of model are read:
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from folio.llm.common import chunks, documents
 
 MARK = "▁"
-#: Distinct words, and pairs of pieces, that a task keeps.
-WORDS_KEPT = 250_000
+#: Distinct words of a generation (a task keeps two), and pairs of pieces, that a task keeps (about 180 and 100 bytes each).
+WORDS_KEPT = 150_000
 PAIRS_KEPT = 300_000
 #: Characters whose distinct words are sorted together.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
+#: Piece ids and, behind them, letters that aren't pieces are numbers below this; the last one is the start of a word.
+_CODES = 1 << 21
 
 
 class Pieces:
@@ -54,8 +57,12 @@ class Pieces:
         cut = "" if any("\n" in p for p in self.id) else "\n"
         self.words = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + ("|\n" if cut else ""))
         self.raw = [bytes([int(self.text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else self.text[i].encode() for i in ids]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.reach: dict[str, int] = {}  # the longest piece that ends with these two letters
+        for p in self.id:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
 
     def _merged(self, text: str) -> list[str]:
         """Merges of letters, the best-scored pair first, the leftmost of equals."""
@@ -71,13 +78,15 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > PAIRS_KEPT:
-                self.pairs.clear()
-            found = self.pairs[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
+    def _name(self, code: int) -> str:
+        return "" if code == _CODES - 1 else self.text[code] if code < len(self.text) else chr(code - len(self.text))
+
+    def _follows(self, key: int) -> bool:
+        """Whether the second piece of a pair may follow the first: merging their letters gives the two again."""
+        before, piece = self._name(key // _CODES), self._name(key % _CODES)
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        found = self.pairs[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
         return found
 
     def _best(self, word: str, end: int, total: list[float]) -> tuple[str, float]:
@@ -90,43 +99,49 @@ class Pieces:
                 best = (piece, total[start] + score[piece])
         return best
 
-    def _only(self, word: str, end: int, last: list[str]) -> str:
-        """BPE: the last piece of the merge result of the letters up to `end`, given those of all places before."""
-        score, pairs = self.score, self.pairs
-        piece = ""
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in score or end - start == 1:
-                found = pairs.get((last[start], piece))
-                if found or found is None and self._follows(last[start], piece):
-                    break
-        return piece
+    def _only(self, word: str, end: int, last: list[int]) -> tuple[int, int]:
+        """BPE: the last piece of the merge result of the letters up to `end`, given those of all places before, and its length."""
+        ids, pairs = self.id, self.pairs
+        code = 0
+        for start in range(max(0, end - self.reach.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
+            code = ids.get(word[start:end])
+            if code is None:
+                if end - start > 1:
+                    continue
+                code = len(self.text) + ord(word[start])
+            key = last[start] * _CODES + code
+            found = pairs.get(key)
+            if found or found is None and self._follows(key):
+                return code, end - start
+        return code, 1
 
     def learn(self, words: set[str]) -> None:
         """Ids of all these words: one walk over their trie."""
-        before, last, total = "", [""], [0.0]
+        before, last, sizes, total = "", [_CODES - 1], [0], [0.0]
         bpe = self.kind == "bpe"
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], sizes[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if bpe:
-                    last.append(self._only(word, end, last))
+                    code, size = self._only(word, end, last)
                 else:
                     piece, s = self._best(word, end, total)
-                    last.append(piece)
+                    code, size = self.id.get(piece, len(self.text) + ord(piece[0])), len(piece)
                     total.append(s)
+                last.append(code)
+                sizes.append(size)
             before, ids, end = word, [], len(word)
             while end:
-                piece = last[end]
-                number = self.id.get(piece)
-                if number is None:
-                    ids += [self.byte.get(b, self.unknown) for b in reversed(piece.encode("utf-8", "replace"))] if self.byte else [self.unknown]
+                code = last[end]
+                if code < len(self.text):
+                    ids.append(code)
                 else:
-                    ids.append(number)
-                end -= len(piece)
+                    letter = chr(code - len(self.text)).encode("utf-8", "replace")
+                    ids += [self.byte.get(b, self.unknown) for b in reversed(letter)] if self.byte else [self.unknown]
+                end -= sizes[end]
             ids.reverse()
             self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
@@ -135,8 +150,11 @@ class Pieces:
         cut = [self.words.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         words = {w for own in cut for w in own}
         if len(self.known) > WORDS_KEPT:  # what comes again stays
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        self.learn({w for w in words if w not in self.known})
+            self.known, self.older = {}, self.known
+        unseen = {w for w in words if w not in self.known}
+        again = {w: self.older[w] for w in unseen if w in self.older}
+        self.known |= again
+        self.learn(unseen.difference(again))
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -154,27 +172,35 @@ def _pieces(path: str, kind: str) -> Pieces:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text", back: bool = False) -> DataFrame:
-    """All columns of docs and ids (little-endian uint32), n_tokens and, with back, decoded: the text that decoding the ids gives.
+def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text", back: bool = False, held: bool = False) -> DataFrame:
+    """All columns of docs and ids (little-endian uint32), n_tokens; with back, decoded: the text that decoding the ids gives;
+    with held, instead of the text, same (whether the decoded text is the text) and decoded_sha256 (hex).
 
     Null and empty texts have no ids; whole texts are taken. Columns of these names are replaced.
     """
-    new = {"ids": pa.binary(), "n_tokens": pa.int64()} | ({"decoded": pa.string()} if back else {})
-    kept = [c for c in docs.columns if c not in new]
+    new = {"ids": pa.binary(), "n_tokens": pa.int64()} | ({"decoded": pa.string()} if back else {}) | ({"same": pa.bool_(), "decoded_sha256": pa.string()} if held else {})
+    kept = [c for c in docs.columns if c not in new and not (held and c == text_col)]
 
     def run(batches):
         own = _pieces(model, kind)
         for batch in batches:
-            column = batch.column(kept.index(text_col))
+            column = batch.column(len(kept))
             for a, b in chunks(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), AT_ONCE):
-                ids = own.encode([x or "" for x in column.slice(a, b - a).to_pylist()])
+                texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
+                ids = own.encode(texts)
                 made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if back or held:
+                    decoded = [own.decode(np.frombuffer(x, "<u4")) for x in ids]
                 if back:
-                    made.append(pa.array([own.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *made], names=[*kept, *new])
+                    made.append(pa.array(decoded, pa.string()))
+                if held:
+                    made.append(pa.array([x == y for x, y in zip(decoded, texts, strict=True)], pa.bool_()))
+                    made.append(pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *made], names=[*kept, *new])
 
     had = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}ids binary, n_tokens long" + ", decoded string" * back)
+    made = ", ".join(f"{c} {t}" for c, t in zip(new, ["binary", "long", *["string"] * back, "boolean", "string"], strict=False))
+    return docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text_col}`").alias("".join(kept) + "_")).mapInArrow(run, had + made)
 
 
 def decode(rows: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids") -> DataFrame:
@@ -200,6 +226,5 @@ def model_path() -> str:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256, same (the decoded text is the text) of every document."""
-    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), model_path(), back=True)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same"))
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), model_path(), held=True)
+    return rows.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "decoded_sha256", "same")
