@@ -1,9 +1,10 @@
 """The corpus pipeline over documents.
 
 Toxic documents go, then those without a recognised language, then all but one of each group of near
-duplicates by SimHash, then those that leak benchmark items, then all but one of each group of near copies by
-five-word shingles; what is left is encoded. Every stage works on all rows that
-the one before has kept.
+duplicates, then those that leak benchmark items; what is left is encoded. Every stage works on all
+rows that the one before has kept.
+
+Rows are told apart by doc_id; where one is null or comes more than once, by their place in the stage's input.
 """
 
 from __future__ import annotations
@@ -40,35 +41,40 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of a column that tells its rows apart: doc_id, or the place of a row if some doc_id is null or repeated."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not repeated:
+        return docs, "doc_id"
+    row = fresh(docs, "row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group; rows that repeat a doc_id are one document; null ids stay."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").isNotNull())
-    gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    """Keeps the smallest doc_id of each group of near duplicates: texts that share 0.8 or more of their five-word shingles.
+
+    SimHash groups propose pairs, and so do minhash keys, as SimHash at a few bits doesn't reach 0.8; the shingles decide.
+    """
+    rows, key = told_apart(docs)
+    gone = nearcopies.groups(rows, key, "text", [simhash.near_duplicates(rows, key)])
+    gone = materialize(gone.select(F.col("node").alias(key)), "copies")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialize(leaks.select("doc_id").distinct(), "leaked")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of texts that share 0.8 of their five-word shingles; null ids stay."""
-    gone = materialize(nearcopies.groups(docs).select(F.col("node").alias("doc_id")), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = told_apart(docs)
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key, item_col="item_id")
+    gone = materialize(leaks.select(key).distinct(), "leaked")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian uint32) of documents whose ids decode to their text."""
-    own = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    rows = pieces.encode(own, pieces.model_path(), back=True)
-    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("same"))
+    """The other columns of docs, and ids (little-endian uint32) and n_tokens of each text, and whether they decode to it.
+
+    Columns of the names ids, n_tokens, same and decoded_sha256 are replaced.
+    """
+    return pieces.encode(docs, pieces.model_path(), held=True)
 
 
 STAGES = [
@@ -76,7 +82,6 @@ STAGES = [
     ("language", keep_languages),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_leaks),
-    ("near_copies", drop_near_copies),
     ("pieces", encode),
 ]
 
