@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, documents, fold
+from folio.llm.common import bounded_batches, chunks, documents, fold
 
 #: N-grams of a profile.
 PROFILE = 300
@@ -112,6 +112,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         if total:
             yield _counted(total)
 
+    bounded_batches(labelled.sparkSession)
     found = labelled.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -204,6 +205,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "t
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *names])
 
+    bounded_batches(docs.sparkSession)
     had = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}, `{names[0]}` string, `{names[1]}` double")
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import chunks, documents
+from folio.llm.common import bounded_batches, chunks, documents
 
 MARK = "▁"
 #: Distinct words of a generation (a task keeps two), and pairs of pieces, that a task keeps (about 180 and 100 bytes each).
@@ -178,6 +178,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", text_col: str = "text
 
     Null and empty texts have no ids; whole texts are taken. Columns of these names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     new = {"ids": pa.binary(), "n_tokens": pa.int64()} | ({"decoded": pa.string()} if back else {}) | ({"same": pa.bool_(), "decoded_sha256": pa.string()} if held else {})
     kept = [c for c in docs.columns if c not in new and not (held and c == text_col)]
 
