@@ -2,10 +2,14 @@
 
 Each page becomes a tree. Boilerplate elements are cut off by tag or role; by class or id, and forms, only if they
 don't have most of the text or hold an article, and never if nothing else is left. For every node the
-composite density is its characters per tag, adjusted by its share of link text; the node whose
-children's densities have the largest sum is the article. The smallest density on its path to
+composite density is its characters per tag, adjusted by its share of link text (markup within a line, as b and br, is no node);
+the node whose children's densities have the largest sum is the article. The smallest density on its path to
 body is the threshold: other subtrees at or above it, off that path, have their own maximum-sum
-node taken too, and headings before the article on its way to body are part of it.
+node taken too, and headings before the article on its way to body are part of it. A tag named article only decides
+between equal sums.
+
+The time is linear in the page: stray end tags are told by counts, and at most _DEEP open elements are looked through for one
+that a start tag closes (deeper ones stay open).
 """
 
 from __future__ import annotations
@@ -17,11 +21,17 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.common import bounded_batches
+
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Markup within a line: no node of the tree, as it says nothing about the page's parts.
+_INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: So many open elements are looked through for one that a start tag closes.
+_DEEP = 200
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in "script style textarea title noscript iframe xmp template".split()}
 _BLOCK = frozenset(
@@ -86,31 +96,40 @@ class Page:
         self.against = [""]  # of each node, why it may go
         self.runs: list[tuple[int, str]] = []
         open_: list[tuple[str, int]] = [("html", 0)]  # node -1: within a part that is cut off
+        count: dict[str, int] = {"html": 1}  # of the open elements
         cut = 0  # open elements from the cut one on
         inside = 0  # open article and main elements
         pos = 0
+        last = source.rfind(">") + 1  # behind it there's no whole tag to look for
         while True:
-            m = _TAG.search(source, pos)
+            m = _TAG.search(source, pos, last)
             end = m.start() if m else len(source)
+            if not m and (open_comment := source.find("<!--", pos)) >= 0:
+                end = open_comment
             if end > pos and not cut:
                 text = source[pos:end]
                 self.runs.append((open_[-1][1], entities.unescape(text) if "&" in text else text))
             if not m:
                 break
             pos = m.end()
+            if pos == last and source.startswith("<!--", end) and not source.endswith("-->", end + 4, pos):
+                break
             name = m[2] or m[5]
             if not name:
                 continue
             tag, attrs, closing = name.lower(), m[3] or m[6] or "", bool(m[1] or m[4])
             if closing:
-                at = len(open_) - 1
-                while at > 0 and open_[at][0] != tag:
-                    at -= 1
-                down = len(open_) - at if at > 0 else 0
+                down = 0
+                if count.get(tag, 0) and tag != "html":
+                    at = len(open_) - 1
+                    while open_[at][0] != tag:  # all of these close now
+                        at -= 1
+                    down = len(open_) - at
             else:
-                down = self._closed_by(tag, open_)
+                down = self._closed_by(tag, open_, count)
             for _ in range(down):
                 gone, node = open_.pop()
+                count[gone] -= 1
                 inside -= gone in ("article", "main")
                 if cut and len(open_) < cut:
                     cut = 0
@@ -126,12 +145,13 @@ class Page:
                 if (e := _RAW[tag].search(source, pos)) or tag != "title":
                     pos = e.end() if e else len(source)
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in open_):
+            if tag in ("html", "body") and count.get(tag, 0):
                 continue
             if tag in _VOID:
-                if not cut:
+                if not cut and tag not in _INLINE:
                     self._add(tag, open_[-1][1])
                 continue
+            count[tag] = count.get(tag, 0) + 1
             if cut:
                 open_.append((tag, -1))
             else:
@@ -139,6 +159,8 @@ class Page:
                 if goes:
                     open_.append((tag, -1))
                     cut = len(open_)
+                elif tag in _INLINE and not against:
+                    open_.append((tag, open_[-1][1]))
                 else:
                     open_.append((tag, self._add(tag, open_[-1][1], against)))
             inside += tag in ("article", "main")
@@ -169,13 +191,16 @@ class Page:
             holds[i] = holds[i] or own
         kept_alone = not holds[0]
         shares: dict[str, int] = {}
-        outer = [""] * n  # names of the elements around that are counted already
+        around: dict[str, int] = {}  # names of the elements around, which are counted already
+        path: list[int] = []
         for i in range(1, n):
-            outer[i] = outer[self.parent[i]]
-            if (name := self.against[i]) and f"\n{name}\n" not in outer[i]:
+            while path and path[-1] != self.parent[i]:
+                around[self.against[path.pop()]] -= 1
+            path.append(i)
+            name = self.against[i]
+            if name and not around.get(name, 0):
                 shares[name] = shares.get(name, 0) + chars[i]
-                if len(outer[i]) < 10_000:
-                    outer[i] += f"\n{name}\n"
+            around[name] = around.get(name, 0) + 1
         within = [False] * n
         for i in range(1, n):
             gone[i] = gone[self.parent[i]]
@@ -196,20 +221,22 @@ class Page:
         return len(self.tag) - 1
 
     @staticmethod
-    def _closed_by(tag: str, open_: list[tuple[str, int]]) -> int:
+    def _closed_by(tag: str, open_: list[tuple[str, int]], count: dict[str, int]) -> int:
         """How many open elements a start tag closes."""
-        ends, outer = _CLOSES.get(tag, (frozenset(), frozenset()))
         down = 0
-        for i in range(len(open_) - 1, 0, -1):
+        if tag == "body" and count.get("head", 0):
+            down = next(n for n, (t, _) in enumerate(reversed(open_), 1) if t == "head")
+        ends, outer = _CLOSES.get(tag, (frozenset(), frozenset()))
+        if not (tag in _ENDS_P and count.get("p", 0) or any(count.get(t, 0) for t in ends)):
+            return down
+        for i in range(len(open_) - 1, max(0, len(open_) - _DEEP), -1):
             t = open_[i][0]
             if t in ends or t == "p" and tag in _ENDS_P:
-                down = len(open_) - i
+                down = max(down, len(open_) - i)
                 if t == "p" and not ends:
                     break
             elif t in outer or t in ("table", "article", "section", "div", "body", "td", "nav", "ul", "ol"):
                 break
-        if tag == "body":
-            down = max([down, *(len(open_) - i for i, (t, _) in enumerate(open_) if t == "head")])
         return down
 
     def densities(self) -> tuple[list[float], list[float], list[int]]:
@@ -246,25 +273,16 @@ class Page:
         density, sums, chars = self.densities()
         n, body = len(self.tag), self.tag.index("body") if "body" in self.tag else 0
 
-        def up(i: int) -> list[int]:
-            out = [i]
-            while i != body and self.parent[i] >= 0:
-                out.append(i := self.parent[i])
-            return out
-
         within = [False] * n
         for i in range(n):
             within[i] = not self.gone[i] and (i == body or self.parent[i] >= 0 and within[self.parent[i]])
-        best = max((i for i in range(n) if within[i]), key=lambda i: (sums[i], -i))
+        # of equal sums, that of an article, then that of the outermost node
+        best = max((i for i in range(n) if within[i]), key=lambda i: (sums[i], self.tag[i] in ("article", "main"), -i))
         if not sums[best]:
             best = body
-        articles = {i for i in range(n) if within[i] and self.tag[i] in ("article", "main") and chars[i]}
-        outermost = [i for i in sorted(articles) if articles.isdisjoint(up(i)[1:])]
-        if holders := [i for i in up(best) if i in outermost]:
-            best = holders[0]
-        elif len(outermost) == 1 and best in up(outermost[0]):
-            best = outermost[0]
-        path = set(up(best))
+        path, at = {best}, best
+        while at != body and self.parent[at] >= 0:
+            path.add(at := self.parent[at])
         threshold = min(density[i] for i in path)
         chosen = [False] * n
         chosen[best] = True
@@ -304,6 +322,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             new = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     had = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in kept)
     return pages.select(*[f"`{c}`" for c in kept], f"`{html_col}`").mapInArrow(run, f"{had}text string, n_chars long")
 
