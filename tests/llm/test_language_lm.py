@@ -1,4 +1,6 @@
 import math
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -73,69 +75,157 @@ def test_language_edges(spark):
 
 def test_class_model_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r for r in classlm.op5_class_lm(spark, SF).collect()}
+    rng = random.Random(3)
+    junk = [(10**6 + i, " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10))) for _ in range(100))) for i in range(20)]
+    got, train_tokens = classlm.score(docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string")), fold("doc_id", 10) * F.when(F.col("doc_id") < 10**6, 1).otherwise(0) != 0)
+    rows = {r.doc_id: r for r in got.collect()}
+    own = {r.doc_id: r for r in classlm.op5_class_lm(spark, SF).collect()}
     texts = {r.doc_id: (r.text or "").encode().lower().split() + [b"\n"] for r in docs.collect()}
     counts = Counter(w for i, own in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in own)
     n, v = sum(counts.values()), len(counts)
-    better = 0.0
-    for i, own in texts.items():
+    better, per = 0.0, {}
+    for i, words in texts.items():
         r = rows[i]
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
         assert abs(base - r.base_score) < 1e-6 * max(1, abs(base))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
-        assert r.score < 0 and r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
-        better += (r.score - r.base_score) if r.held_out else 0
+        assert (r.n_tokens, r.n_known, train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
+        held = zlib.crc32(str(i).encode()) % 10 == 0
+        assert r.score < 0 and own[i].held_out == held and (own[i].score, own[i].base_score, own[i].train_tokens) == (r.score, r.base_score, n)
+        better += (r.score - r.base_score) * (not held)
+        per[i] = r.score / r.n_tokens
     assert better > 0
-
-
-def test_model_is_a_distribution_and_scores_match_it(spark):
-    texts = ["a b a c", "a b", "b a", None, "zz zz"]
-    df = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, row int, word string")
-    model, counts, core, frequent = classlm.train(df)
+    assert max(rows[i].score / 101 for i, _ in junk) < min(p for i, p in per.items() if zlib.crc32(str(i).encode()) % 10)
+
+
+def brute_model(spark, rows, size):
+    """The parts of score(), and the class of each word by plain Python from the core's classes on."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, word string")
+    counts = classlm.word_counts(docs)
+    top = classlm.most_frequent(counts.where(f"word != '{classlm.END}' and n > 1"), size)
+    core = {w.encode(): i + 1 for i, (w, _) in enumerate(top)}
+    spelling = classlm.learn_spelling(counts)
+    seqs = classlm.materialize(classlm.sequences(docs, F.lit(True), core, spelling), "s")
+    classes, n, risen = classlm.cluster(seqs.select("items"), core)
+    return counts, core, spelling, seqs, classes, n, risen
+
+
+def sample(seed, texts=300):
+    """Words of four kinds that follow each other by kind."""
+    rng = random.Random(seed)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "abcd"]
+    return [(i, " ".join(rng.choices(kinds[j % 4], range(30, 0, -1))[0] for j in range(rng.randint(0, 40))), 1, "c") for i in range(texts)]
+
+
+def test_words_beyond_the_core_have_an_exchange_of_their_own(spark):
+    rows = sample(1)
+    counts, core, _, seqs, classes, n, _ = brute_model(spark, rows, 20)
+    got = {r.word: r["class"] for r in classlm.other_classes(seqs, classes, n).collect()}
+    contexts = {}
+    for _, text, _, _ in rows:
+        words = text.encode().split()
+        own = [0, *(int(classes[core.get(w) or classlm._group(w) - classlm.GROUPS]) for w in words), 0]
+        for i, w in enumerate(words):
+            if w not in core:
+                x = contexts.setdefault(w.decode(), np.zeros((1, 2 * classlm.ALL)))
+                x[0, own[i]] += 1
+                x[0, classlm.ALL + own[i + 2]] += 1
+    many = {w: x for w, x in contexts.items() if x.sum() > 2}
+    assert got == {w: 1 + int(classlm.gains(x, classes[[classlm._group(w.encode()) - classlm.GROUPS]], n).argmax()) for w, x in many.items()} and len(got) > 60
+
+
+def test_held_out_texts_gain_by_classes(spark):
+    docs = spark.createDataFrame(sample(5, 1700), "doc_id long, text string, row int, word string")
+    got = classlm.score(docs, F.col("doc_id") < 1500, size=60)[0].where("doc_id >= 1500").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.85 * got[1]
+
+
+def test_gains_are_the_change_of_the_likelihood():
+    """Of a word that doesn't follow itself or its own class."""
+    n = np.random.default_rng(2).integers(1, 50, (classlm.ALL, classlm.ALL)).astype(float)
+    x = np.zeros((1, 2 * classlm.ALL))
+    x[0, [3, 4]], x[0, classlm.ALL + np.array([5, 6])] = (7, 2), (4, 5)
+    for b in (1, 9, 20):
+        with_it = n.copy()
+        with_it[:, b] += x[0, : classlm.ALL]
+        with_it[b] += x[0, classlm.ALL :]
+        change = classlm.likelihood(with_it) - classlm.likelihood(n)
+        marginal = sum(classlm._phi(a + k) - classlm._phi(a) for a, k in [(n.sum(axis=0)[5], 4), (n.sum(axis=0)[6], 5), (n.sum(axis=1)[3], 7), (n.sum(axis=1)[4], 2)])
+        assert abs(classlm.gains(x, np.array([0]), n)[0, b - 1] - change - marginal) < 1e-6
+        assert abs(classlm.gains(x, np.array([b]), with_it)[0, b - 1] - change - marginal) < 1e-6
+
+
+def test_rounds_rise_and_come_near_one_by_one_exchange(spark):
+    rows = sample(2, 150)
+    _, core, _, seqs, classes, n, risen = brute_model(spark, rows, 100)
+    assert len(risen) > 2 and risen == sorted(set(risen)) and abs(risen[-1] - classlm.likelihood(n)) < 1e-6
+    texts = [[core.get(w) or classlm._group(w) + len(core) + 1 for w in t.encode().split()] for _, t, _, _ in rows]
+
+    def table(classes):
+        out = np.zeros((classlm.ALL, classlm.ALL))
+        for t in texts:
+            own = [0, *(classes[i] for i in t), 0]
+            np.add.at(out, (own[:-1], own[1:]), 1)
+        return out
+
+    assert (table(classes) == n).all()
+    one = classlm.first_classes(core)
+    first = best = classlm.likelihood(table(one))
+    for item in range(1, len(core) + 1):  # each word in turn goes where the likelihood is highest
+        for c in range(1, classlm.CLASSES + 1, 3):
+            was, one[item] = one[item], c
+            found = classlm.likelihood(table(one))
+            best, one[item] = (found, c) if found > best else (best, was)
+    assert risen[-1] - first > 0.8 * (best - first) > 0
+
+
+def test_probabilities_sum_to_one_and_scores_match_them(spark):
+    rows = [*sample(4, 60), (900, "b1 once0 twice twice", 1, "c"), (901, None, 1, "c"), (902, "", 1, "c")]
+    counts, core, spelling, seqs, classes, n, _ = brute_model(spark, rows, 30)
+    times = {r.word: r.n for r in counts.collect()}
+    lexicon = counts.where(f"word != '{classlm.END}'").join(classlm.other_classes(seqs, classes, n), "word", "left").where("class is not null or n = 1")
+    spelled = lambda w: int(classes[classlm._group(w.encode()) - classlm.GROUPS])
+    named = {w.decode(): int(classes[i]) for w, i in core.items()} | {r.word: r["class"] or spelled(r.word) for r in lexicon.collect()} | {classlm.END: 0}
+    assert set(named) == set(times)
+    frequent = np.array([times[classlm.END], *(times[w.decode()] for w in core)])
+    less = classlm.discount(sum(c == 1 for c in times.values()), sum(c == 2 for c in times.values()))
+    found = classlm.classed(seqs, lexicon, classes, frequent, sum(times.values()), len(times), less)
+    n = classlm.class_bigrams(found)
+    of = lambda keep: np.bincount([named[w] for w, c in times.items() if keep(c) and w != classlm.END], minlength=classlm.ALL)
+    assert (np.bincount(classes[len(core) + 1 :], classlm.groups_once(counts), classlm.ALL) == of(lambda c: c == 1)).all()
+    model = classlm.Model(n, of(bool), of(lambda c: c == 1), less)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    mass = np.zeros(classlm.CLASSES)
-    for word, n in counts.collect():
-        item = 0 if word == classlm.END else core[word.encode()]
-        mass[model.classes[item]] += 10 ** (model.known[model.classes[item]]) * n
-    for c in np.flatnonzero(mass):
-        assert abs(mass[c] + 10 ** model.unknown[c] - 1) < 1e-9  # words and the unknown word
-    got = {r.doc_id: r for r in classlm.score(df, model, counts, core, frequent).collect()}
-    seq = [int(model.classes[core[w]]) for w in (b"a", b"b")] + [0]
-    n = {w: c for w, c in counts.collect()}
-    want = sum(model.transition[p, q] for p, q in zip([0, *seq], seq, strict=False))
-    want += sum(model.known[c] + math.log10(n[w]) for c, w in zip(seq, ("a", "b", classlm.END), strict=True))
-    assert abs(got[1].score - want) < 1e-9 and got[3].n_tokens == 1
-
-
-def test_rare_words_come_by_the_join(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"w{i} w{i} common x{i % 7}") for i in range(50)] + [(99, "never seen")], "doc_id long, text string")
-    train = df.where("doc_id < 50")
-    whole = classlm.train(train)
-    want = {r.doc_id: (round(r.score, 9), round(r.base_score, 9), r.n_known) for r in classlm.score(df, *whole).collect()}
-    model, counts, core, frequent = whole
-    few = {w: n for w, n in frequent.items() if n > 5}
-    got = {r.doc_id: (round(r.score, 9), round(r.base_score, 9), r.n_known) for r in classlm.score(df, model, counts, core, few).collect()}
-    assert got == want and want[99][2] == 1
-
-
-def test_items_agree_between_python_and_sql(spark):
-    core = {b"the": 1}
-    words = ["the", "a", "ab", "abcd", "abcde", "été", "日本語", "x" * 50]
-    df = spark.createDataFrame([(w, 1 if w == "the" else None) for w in words], "word string, item long")
-    items = classlm._Items(core)
-    got = df.select("word", classlm.item_of(F.col("word"), F.col("item")).alias("i")).collect()
-    assert {r.word: r.i for r in got} == {w: items[w.encode()] for w in words}
-
-
-def test_no_training_rows(spark):
-    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    model, counts, core, frequent = classlm.train(df.where(fold("doc_id", 10) == 99))
-    r = classlm.score(df, model, counts, core, frequent).first()
-    assert r.n_tokens == 3 and r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0
+    word = {w: model.word[named[w]] + math.log10(c - less) if w != classlm.END else 0.0 for w, c in times.items()}
+    unseen = (of(lambda c: c == 1) + 1 / classlm.CLASSES) / (of(lambda c: c == 1).sum() + 1)
+    assert abs(unseen[1:].sum() - 1) < 1e-9
+    for c in set(named.values()):
+        assert abs(sum(10 ** word[w] for w in named if named[w] == c) + (10 ** model.unseen[c] * unseen[c] if c else 0) - 1) < 1e-9, c
+    assert np.allclose((10**spelling.table).sum(axis=1), 1)
+    assert abs(spelling.known - sum(10 ** spelling.log([w.encode()])[0][0] for w in times if w != classlm.END)) < 1e-9
+    likely, odd = spelling.share([b"a777", b"\xc3\xa4?="])  # so many words share 1 - ODD, and all other strings ODD
+    assert abs(10**likely * spelling.unseen - (1 - classlm.ODD)) < 1e-9
+    assert abs(odd - spelling.log([b"\xc3\xa4?="])[0][0] - math.log10(classlm.ODD / (1 - spelling.known))) < 1e-9
+    new = [*rows, (903, "b1 Never a2 seen b1 b1", 1, "c"), (903, "b1 Never a2 seen b1 b1", 1, "c"), (None, "a1", 1, "c")]
+    scored, tokens = classlm.score(spark.createDataFrame(new, "doc_id long, text string, row int, word string"), F.col("doc_id") < 903, size=30)
+    got = [(r.doc_id, r.score, r.n_known) for r in scored.collect()]
+    assert tokens == sum(times.values()) and len(got) == len(new)
+    for i, text, _, _ in new:
+        words = [*(text or "").lower().split(), classlm.END]
+        own = [0, *(named.get(w) or (spelled(w) if w != classlm.END else 0) for w in words)]
+        want = sum(model.transition[a, b] for a, b in zip(own, own[1:], strict=False)) + sum(word[w] if w in word else model.unseen[c] + spelling.share([w.encode()])[0] for c, w in zip(own[1:], words, strict=True))
+        assert any(k == i and abs(s - want) < 1e-4 * max(1, abs(want)) and m == sum(w in times for w in words) for k, s, m in got), (i, want)
+
+
+def test_no_training_rows_and_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "x y " * 60_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in classlm.score(df, F.lit(False))[0].collect()}
+    assert rows[1].n_tokens == 3 and rows[1].n_known == 0 and math.isfinite(rows[1].score) and rows[1].base_score == 0
+    rows = {r.doc_id: r for r in classlm.score(df, F.col("doc_id") == 2, size=1)[0].collect()}
+    assert rows[2].n_tokens == 120_001 == rows[2].n_known and rows[2].score > -30 and rows[1].score < -2
+    assert classlm.score(df.limit(0), F.lit(True))[0].count() == 0
 
 
 def test_most_frequent_words(spark):
     df = spark.createDataFrame([(f"w{i:03}", n) for i, n in enumerate([1] * 50 + [2] * 10 + [100, 7, 7])], "word string, n long")
-    assert classlm.most_frequent(df) == sorted(((r.word, r.n) for r in df.collect()), key=lambda x: (-x[1], x[0]))
-    assert classlm.most_frequent(df, 20) == [("w060", 100), ("w061", 7), ("w062", 7), *((f"w{i:03}", 2) for i in range(50, 60))]
-    assert classlm.most_frequent(df, 2) == [("w060", 100)] and classlm.most_frequent(df, 0) == []
+    assert classlm.most_frequent(df, 99) == sorted(((r.word, r.n) for r in df.collect()), key=lambda x: (-x[1], x[0]))
+    assert classlm.most_frequent(df, 20) == [("w060", 100), ("w061", 7), ("w062", 7), *((f"w{i:03}", 2) for i in range(50, 60)), *((f"w{i:03}", 1) for i in range(7))]
+    assert classlm.most_frequent(df, 2) == [("w060", 100), ("w061", 7)] and classlm.most_frequent(df, 0) == []
