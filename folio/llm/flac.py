@@ -2,7 +2,8 @@
 
 Streams follow the published FLAC format: STREAMINFO with the MD5 of the samples, a SEEKTABLE
 with a point for each frame, and frames with CRC-8 and CRC-16. The writer makes mono streams of
-8-bit samples (byte - 128) with fixed predictors of order 0 to 2. The reader takes any
+8-bit samples (byte - 128); each frame takes the shortest of a constant, verbatim samples, fixed predictors of order 0 to 2 and
+a linear predictor of order LPC, with one Rice parameter or one for each quarter. The reader takes any
 native FLAC stream of up to 24 bits: constant, verbatim, fixed and LPC subframes, Rice codes with
 4- and 5-bit parameters, partitions and escapes, wasted bits, and stereo decorrelation.
 
@@ -23,8 +24,13 @@ from folio.llm.common import byte_values, chunks, documents
 
 BLOCK = 1024
 RATE = 8000
-#: Payload bytes whose frames are coded side by side; a longer payload is coded in several goes.
+#: Order of linear predictors, and bits of their coefficients.
+LPC = 8
+PRECISION = 10
+#: Payload bytes whose frames are decoded side by side; a longer payload is decoded in several goes.
 AT_ONCE = 1_500_000
+#: Frames that are encoded side by side.
+FRAMES_AT_ONCE = 256
 
 
 class FlacError(ValueError):
@@ -102,8 +108,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     start = np.repeat(np.cumsum(lens) - lens, frames) + number * BLOCK
     size = np.minimum(BLOCK, lens[owner] - number * BLOCK)
     parts, offsets = [], [np.zeros(1, np.int64)]
-    for i in range(0, len(owner), AT_ONCE // BLOCK):
-        own = slice(i, i + AT_ONCE // BLOCK)
+    for i in range(0, len(owner), FRAMES_AT_ONCE):
+        own = slice(i, i + FRAMES_AT_ONCE)
         a = int(start[own][0])
         x = data[a : int(start[own][-1] + size[own][-1])].astype(np.int32) - 128
         part, ends = _encode_frames(x, start[own] - a, size[own], number[own])
@@ -124,59 +130,114 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+def _predictors(x: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x LPC coefficients, shifts): quantised linear predictors from each frame's windowed autocorrelation."""
+    w = (x * np.sin((at + 0.5) * np.repeat(np.pi / size, size))).astype(np.float32)
+    r = np.empty((LPC + 1, len(size)))
+    r[0] = np.add.reduceat(w * w, start, dtype=np.float64) * (1 + 1e-6) + 1e-6
+    for lag in range(1, LPC + 1):
+        part = np.zeros(len(w), np.float32)
+        np.multiply(w[lag:], w[:-lag], out=part[lag:])
+        part[at < lag] = 0
+        r[lag] = np.add.reduceat(part, start, dtype=np.float64)
+    a, error = np.zeros((LPC, len(size))), r[0].copy()
+    for i in range(LPC):  # Levinson and Durbin, all frames at once
+        k = (r[i + 1] - (a[:i] * r[i:0:-1]).sum(axis=0)) / error
+        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+        error *= np.maximum(1 - k * k, 1e-9)
+    top = np.frexp(np.abs(a).max(axis=0))[1]
+    shift = np.clip(PRECISION - 1 - top, 0, 15)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(a * np.exp2(shift)), -most - 1, most).astype(np.int64).T, shift
+
+
+def _rice(u: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parameter, bits) of each stretch of codes u; count of its values are coded, the others are 0."""
+    mean = np.maximum(np.add.reduceat(u, starts) / np.maximum(count, 1), 1)
+    best, k = np.full(len(sizes), 1 << 60, np.int64), np.zeros(len(sizes), np.int64)
+    for less in (0, 1):
+        trial = np.clip(np.floor(np.log2(mean)).astype(np.int64) - less, 0, 14)
+        bits = np.add.reduceat(u >> np.repeat(trial, sizes), starts) + count * (1 + trial)
+        k, best = np.where(bits < best, trial, k), np.minimum(bits, best)
+    return k, best
+
+
 def _encode_frames(x: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The frames one after the other, and their offsets (one more than frames). Frames cover x in order."""
     at = np.arange(len(x)) - np.repeat(start, size)
     one = np.diff(x, prepend=0)
-    errors, costs = [x, one, np.diff(one, prepend=0)], []
-    for order, e in enumerate(errors):
-        costs.append(np.add.reduceat(np.where(at >= order, np.abs(e), 0), start) + 8 * order)
-    order = np.argmin(costs, axis=0)
+    coef, shift = _predictors(x, at, start, size)
+    guess = np.zeros(len(x), np.int32)
+    for j in range(LPC):
+        guess[j + 1 :] += np.repeat(coef[:, j].astype(np.int32), size)[j + 1 :] * x[: -j - 1]
+    errors, costs = [x, one, np.diff(one, prepend=0), x - (guess >> np.repeat(shift.astype(np.int32), size))], []
+    orders, extra = np.array([0, 1, 2, LPC]), np.array([0, 0, 0, 9 + LPC * PRECISION])
+    for order, more, e in zip(orders, extra, errors, strict=True):
+        total, n = np.add.reduceat(np.where(at >= order, np.abs(e), 0), start), np.maximum(size - order, 1)
+        costs.append(n * (np.log2(2 * total / n + 1) + 1) + 8 * order + more + np.where(size > 2 * order, 0, 1 << 40) * (order > 2))
+    kind = np.argmin(costs, axis=0)
+    order, linear = orders[kind], kind == 3
     own = np.repeat(order, size)
-    e = np.choose(own, errors)
+    e = np.choose(np.repeat(kind, size), errors)
     code = at >= own  # the samples before are stored as they are
     u = np.where(code, (e << 1) ^ (e >> 31), 0).astype(np.int64)
-    count = size - order
-    mean = np.maximum(np.add.reduceat(u, start) / np.maximum(count, 1), 1)
-    best = np.full(len(size), 1 << 60, np.int64)
-    k = np.zeros(len(size), np.int64)
-    for less in (0, 1):
-        trial = np.maximum(np.floor(np.log2(mean)).astype(np.int64) - less, 0)
-        bits = np.add.reduceat(u >> np.repeat(trial, size), start) + count * (1 + trial)
-        k, best = np.where(bits < best, trial, k), np.minimum(bits, best)
+    k, bits = _rice(u, start, size, size - order)
+    # quarters with parameters of their own
+    fits = (size % 4 == 0) & (size >= 4 * LPC + 4)
+    edges = size[:, None] * np.arange(5) // 4
+    quarters = np.maximum(np.diff(edges, axis=1), 0)
+    kq, bq = _rice(u, np.minimum((start[:, None] + edges[:, :4]).ravel(), len(u) - 1), quarters.ravel(), (quarters - np.where(np.arange(4) == 0, order[:, None], 0)).ravel())
+    kq, bq = kq.reshape(-1, 4), bq.reshape(-1, 4).sum(axis=1) + 12
+    parts = fits & (bq < bits)
+    bits = np.where(parts, bq, bits) + 8 * order + np.where(linear, extra[3], 0) + 10
     flat = np.add.reduceat(np.where(at > 0, one != 0, False).astype(np.int64), start) == 0
-    raw = ~flat & (8 * order + 10 + best >= 8 * size)
+    raw = ~flat & (bits >= 8 * size)
     rice = ~flat & ~raw
-    body = np.where(flat, 1, np.where(raw, size, (8 * order + 10 + best + 7) // 8))
+    body = np.where(flat, 1, np.where(raw, size, (bits + 7) // 8))
     heads = [_frame_header(int(n), int(s)) for n, s in zip(number, size, strict=True)]
     head = np.array([len(h) for h in heads])
     total = head + 1 + body + 2
     offsets = np.concatenate([[0], np.cumsum(total)])
-    into = offsets[:-1] + head + 1  # where warm-up samples begin
-
+    into = (offsets[:-1] + head + 1) * 8  # the bit where warm-up samples begin
+
+    fields: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (bit, bits, value)
+    put = lambda where, n, value: fields.append((where, np.broadcast_to(n, len(where)), value))
+    for j in range(LPC):
+        has = rice & (order > j)
+        put(into[has] + 8 * j, 8, x[start[has] + j] & 255)
+    has = rice & linear
+    place = into[has] + 8 * LPC
+    put(place, 9, (PRECISION - 1 << 5) + shift[has])
+    for j in range(LPC):
+        put(place + 9 + PRECISION * j, PRECISION, coef[has, j] & (1 << PRECISION) - 1)
+    codes = into + 8 * order + np.where(linear, extra[3], 0)
+    put(codes[rice], 6, np.where(parts[rice], 2, 0))
     code &= np.repeat(rice, size)
-    kk = np.repeat(k, size)[code]
+    quarter = np.repeat(kq.ravel(), quarters.ravel()) if quarters.sum() == len(u) else np.repeat(k, size)
+    kk = np.where(np.repeat(parts, size), quarter, np.repeat(k, size))[code]
+    # where a parameter stands before a code
+    lead = at == own
+    begins = (start[:, None] + edges[:, 1:4])[parts].ravel()
+    lead[begins] = True
+    lead = lead[code]
     uu = u[code]
-    length = (uu >> kk) + 1 + kk
+    length = (uu >> kk) + 1 + kk + 4 * lead
     ends = np.cumsum(length)
-    coded = np.where(rice, count, 0)
+    coded = np.where(rice, size - order, 0)
     before = np.concatenate([[0], ends])[np.cumsum(coded) - coded]
-    first = (into + order) * 8 + 10
-    put = ends + np.repeat(first - before, coded) - kk - 1  # of the stop bit and the k bits after it
-    value = ((np.int64(1) << kk) | (uu & ((np.int64(1) << kk) - 1))).astype(np.uint64) << (63 - (put & 31) - kk).astype(np.uint64)
+    ends = ends + np.repeat(codes + 6 - before, coded)
+    put((ends - length)[lead], 4, kk[lead])
+    put(ends - kk - 1, kk + 1, (np.int64(1) << kk) | (uu & ((np.int64(1) << kk) - 1)))  # the stop bit and the bits after it
+    where, n, value = (np.concatenate(f) for f in zip(*fields, strict=True))
+    value = value.astype(np.uint64) << (64 - (where & 31) - n).astype(np.uint64)
     words = int(offsets[-1]) // 4 + 3
-    sums = np.bincount(put >> 5, (value >> np.uint64(32)).astype(np.float64), words) + np.bincount((put >> 5) + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
+    sums = np.bincount(where >> 5, (value >> np.uint64(32)).astype(np.float64), words) + np.bincount((where >> 5) + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
     buf = sums.astype(np.uint32).astype(">u4").view(np.uint8)[: offsets[-1]].copy()
 
     for i, h in enumerate(heads):
         buf[offsets[i] : offsets[i] + len(h)] = np.frombuffer(h, np.uint8)
-    buf[into - 1] = np.where(flat, 0, np.where(raw, 1, 8 + order)) << 1
-    for n in range(2):
-        has = rice & (order > n)
-        buf[into[has] + n] = x[start[has] + n].astype(np.uint8)
-    p = (into + order)[rice]
-    buf[p] |= (k[rice] >> 2).astype(np.uint8)
-    buf[p + 1] |= ((k[rice] & 3) << 6).astype(np.uint8)
+    into = into // 8
+    buf[into - 1] = np.where(flat, 0, np.where(raw, 1, np.where(linear, 31 + LPC, 8 + order))) << 1
     buf[into[flat]] = x[start[flat]].astype(np.uint8)
     for i in np.flatnonzero(raw):
         buf[into[i] : into[i] + size[i]] = x[start[i] : start[i] + size[i]].astype(np.uint8)
@@ -519,22 +580,40 @@ def flac_encode(rows: DataFrame, id_col: str, payload_col: str, pad: int = 64) -
     return rows.select(id_col, payload_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-def flac_decode(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def _decode_each(media: list[bytes | None]) -> tuple[list, list]:
+    """(streams, reasons): a damaged stream is None and has a reason; the others of its batch are decoded."""
+    whole = [x for x in media if x is not None]
+    try:
+        found = iter(decode(whole))
+        return [None if x is None else next(found) for x in media], [None] * len(media)
+    except FlacError as e:
+        if len(media) == 1:
+            return [None], [str(e)]
+        half = len(media) // 2
+        a, b = _decode_each(media[:half]), _decode_each(media[half:])
+        return a[0] + b[0], a[1] + b[1]
+
+
+def flac_decode(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", damaged: bool = False) -> DataFrame:
     """All columns of rows and: pcm (little-endian; 8-bit samples unsigned), blocks, rate, channels, depth, feature.
 
     blocks is an array of (sample_offset, n_samples, byte_offset in pcm), one for each frame, so a reader
-    can seek to any sample. A null stream gives nulls. A stream that fails a checksum raises FlacError.
+    can seek to any sample. A null stream gives nulls. A stream that fails a checksum raises FlacError; with
+    damaged, it gives nulls, and a column damage has the reason.
     """
     block = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("byte_offset", pa.int64())]))
-    extra = {"pcm": pa.binary(), "blocks": block, "rate": pa.int32(), "channels": pa.int32(), "depth": pa.int32(), "feature": pa.string()}
+    extra = {"pcm": pa.binary(), "blocks": block, "rate": pa.int32(), "channels": pa.int32(), "depth": pa.int32(), "feature": pa.string()} | ({"damage": pa.string()} if damaged else {})
     kept = [c for c in rows.columns if c not in extra]
 
     def run(batches):
         for batch in batches:
             media = batch.column(kept.index(media_col)).to_pylist()
             for a, b in chunks([len(x or b"") for x in media], AT_ONCE):
-                found = iter(decode([x for x in media[a:b] if x is not None]))
-                streams = [None if x is None else next(found) for x in media[a:b]]
+                if damaged:
+                    streams, reasons = _decode_each(media[a:b])
+                else:
+                    found = iter(decode([x for x in media[a:b] if x is not None]))
+                    streams = [None if x is None else next(found) for x in media[a:b]]
                 unit = [0 if s is None else len(s.pcm) // max(1, s.samples.shape[1]) for s in streams]
                 made = [
                     [None if s is None else s.pcm for s in streams],
@@ -543,12 +622,13 @@ def flac_decode(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     [None if s is None else s.channels for s in streams],
                     [None if s is None else s.depth for s in streams],
                     [None if s is None else feature(s) for s in streams],
+                    *([reasons] if damaged else []),
                 ]
                 new = [pa.array(x, kind) for x, kind in zip(made, extra.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns] + new, names=[*kept, *extra])
 
     had = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    made = "pcm binary, blocks array<struct<sample_offset: long, n_samples: int, byte_offset: long>>, rate int, channels int, depth int, feature string"
+    made = "pcm binary, blocks array<struct<sample_offset: long, n_samples: int, byte_offset: long>>, rate int, channels int, depth int, feature string" + ", damage string" * damaged
     return rows.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{had}, {made}")
 
 

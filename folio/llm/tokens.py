@@ -1,17 +1,19 @@
-"""Token ids in binary files with Elias-Fano document boundaries.
+"""Token ids in binary blocks with Elias-Fano document boundaries.
 
-A folder of token files holds blocks of documents in ascending id order, one block a file:
+A folder holds blocks of documents in ascending id order, a row of Parquet each, uncompressed: (part, block, docs, ids, data). So
+Spark writes them to any store, and counts are read without the data. The data of a block:
 
     magic "EFT1" | header (see HEAD) | document ids, int64 | null-id flags, 1 bit each
     | Elias-Fano low bits | Elias-Fano high bits | select samples, uint32 | token ids, uint16 or uint32
 
 The boundaries (ends of documents within the block's id array) take about 2 + log2(ids per
 document) bits each; select() finds any of them from a sampled directory without a table of
-64-bit offsets. Files are written and read by Spark, so any store that Spark can write works.
+64-bit offsets, and the reader finds every document by it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import byte_values, documents, scratch_path
+from folio.llm.common import bounded_batches, byte_values, documents, scratch_path
 
 MAGIC = b"EFT1"
 HEAD = np.dtype([("part", "<u4"), ("block", "<u4"), ("width", "<u4"), ("low", "<u4"), ("docs", "<u8"), ("ids", "<u8")])
@@ -116,13 +118,16 @@ class Block:
         return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+#: The normalizer and the pattern of the pre-tokenizer (fixed values) under which words can be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 # Letters (ASCII and Latin-1) and then ASCII punctuation other than the apostrophe: such a word is two
 # pre-tokens at most, and lower case of its letters is the same character by character.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-;=-@\[-`{-~]*)")
 
 
 class WordIds(dict):
-    """Word (bytes) -> its ids as bytes, for a tokenizer that drops white space, so that words stand alone."""
+    """Word (bytes) -> its ids as bytes, for a tokenizer under which words stand alone; under others, whole texts are encoded by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -134,6 +139,9 @@ class WordIds(dict):
         hidden = [b for b in range(256) if b not in shown]
         self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces: dict[str, bytes] = {"": b""}
+        own = json.loads(self.tokenizer.to_str())
+        split = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = (own["normalizer"] or {}).get("normalizers") == _NORMALIZERS and split[0] == _SPLIT and [x["type"] for x in split[1:]] == ["ByteLevel"]
 
     def piece(self, text: str) -> bytes:
         if text not in self.pieces:
@@ -155,6 +163,8 @@ class WordIds(dict):
         return out
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return self.number(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         if len(self) > WORDS_KEPT:
             self.clear()
         if len(self.pieces) > WORDS_KEPT:
@@ -168,61 +178,66 @@ _encoders: dict[str, WordIds] = {}
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encode each whole text, append end_id, and write token files to `path` in ascending id order.
 
-    tokenizer: a tokenizers-library file that drops white space (its words are encoded one by one and kept).
+    tokenizer: a file of the tokenizers library. parts: tasks that write; as many as the input has partitions, or shuffles have if more.
     Null texts count as empty; null ids come first; repeated ids stay, next to each other. The id column
     must be of an integer type. Other columns go. An empty table writes no block.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(docs.sparkSession)
+    parts = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def run(batches):
         coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordIds(tokenizer))
         end = coder.number([end_id])
         part, block, ids, tokens, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def packed():
+            columns = [pa.array([x]) for x in (part, block, len(ids), size // coder.width)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([pack(part, block, ids, tokens, coder.width)], pa.binary())], names=["part", "block", "docs", "ids", "data"])
+
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
                 ids.append(i)
                 tokens.append(coder.encode(text) + end)
                 size += len(tokens[-1])
                 if size >= BLOCK_IDS * coder.width:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(part, block, ids, tokens, coder.width)])], names=["block"])
+                    yield packed()
                     block, ids, tokens, size = block + 1, [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(part, block, ids, tokens, coder.width)])], names=["block"])
+            yield packed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    blocks = rows.mapInArrow(run, "block binary")
-    # a block is the one line of its file; its header says where it ends
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.mapInArrow(run, "part long, block long, docs long, ids long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(part, block, place, doc_id, local_start, n_tokens, ids_crc32) of each document in the files at `path`."""
+    """(part, block, place, doc_id, local_start, n_tokens, ids_crc32) of each document in the files at `path`, found by select."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                if not data:
-                    continue
                 own = Block(data)
-                ends = own.ends.all()
+                n = own.ends.n
+                ends = np.fromiter(map(own.ends.select, range(n)), np.int64, n)
                 starts = np.concatenate([[0], ends[:-1]])
                 wide = own.tokens.astype("<u4")
                 crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-                n = len(ends)
                 columns = [pa.array(np.full(n, own.part)), pa.array(np.full(n, own.block)), pa.array(np.arange(n)), pa.array(own.known, mask=own.null), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "place", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(run, "part long, block long, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    blocks = spark.read.parquet(path).select("data")
+    return blocks.mapInArrow(run, "part long, block long, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
-def with_offsets(read: DataFrame) -> DataFrame:
-    """Adds start: the number of ids in all documents before. Only a row for each block meets in one task."""
-    totals = read.groupBy("part", "block").agg(F.sum("n_tokens").alias("ids"))
+def block_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, block, base): the number of ids in all blocks before. Only a row of counts for each block meets in one task; data isn't read."""
     before = F.coalesce(F.sum("ids").over(W.orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("part", "block", before.alias("base"))
-    return read.join(bases, ["part", "block"]).withColumn("start", F.col("base") + F.col("local_start"))
+    return spark.read.parquet(path).select("part", "block", before.alias("base"))
+
+
+def read_with_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """read_tokens() and start: the number of ids in all documents before."""
+    return read_tokens(spark, path).join(block_starts(spark, path), ["part", "block"]).withColumn("start", F.col("base") + F.col("local_start"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,4 +246,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), 2)
-    return with_offsets(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_with_offsets(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from folio.llm import flac, tokens
 
+SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -31,7 +32,7 @@ def test_files_round_trip(spark, tmp_path):
     rows = [(100 - i, t, "clash") for i, t in enumerate(texts)] + [(None, "null id", "c"), (95, "again", "c")]
     path = f"file://{tmp_path}/tokens"
     tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, id string"), path, PATH, 2)
-    got = tokens.with_offsets(tokens.read_tokens(spark, path)).orderBy("start").collect()
+    got = tokens.read_with_offsets(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     library, at = Tokenizer.from_file(PATH), 0
     by_id = {}
@@ -41,7 +42,7 @@ def test_files_round_trip(spark, tmp_path):
     for r in got:
         assert (r.n_tokens, r.ids_crc32) in by_id[r.doc_id] and r.start == at
         at += r.n_tokens
-    block = tokens.Block(bytes(spark.read.format("binaryFile").load(path).where("length > 0").first().content))
+    block = tokens.Block(bytes(spark.read.parquet(path).first().data))
     ends = block.ends.all()
     assert all((block.document(i) == block.tokens[(ends[i - 1] if i else 0) : ends[i]]).all() for i in range(len(ends)))
 
@@ -49,7 +50,7 @@ def test_files_round_trip(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 2)
-    assert tokens.with_offsets(tokens.read_tokens(spark, path)).count() == 0
+    assert tokens.read_with_offsets(spark, path).count() == 0
 
 
 def _bits(*fields):
@@ -127,3 +128,66 @@ def test_media_columns(spark):
     assert hashlib.md5(bytes(b ^ 0x80 for b in bytes(rows[2].pcm))).digest() in bytes(rows[2].media)
     assert flac.flac_decode(coded.limit(0)).count() == 0
     assert flac.flac_decode(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().pcm is None
+
+
+def test_writer_takes_linear_predictors_and_quarters(spark):
+    n = np.arange(40_000)
+    rng = np.random.default_rng(1)
+    wave = (128 + 100 * np.sin(n / 9) + rng.normal(0, 2, len(n))).clip(0, 255).astype(np.uint8).tobytes()
+    loud = (128 + np.where(n % 1024 < 512, 1, 40) * rng.normal(0, 0.5, len(n))).clip(0, 255).astype(np.uint8).tobytes()
+    payloads = [wave, loud, bytes(64), bytes(range(256)) * 4, rng.bytes(5000), b"x", b"ab", b"abc", b"", b"\xff\x00" * 700]
+    media = flac.encode(payloads)
+    assert [s.pcm for s in flac.decode(media)] == payloads
+
+    def kinds(data):
+        """(kind of subframe, order of partitions) of each frame."""
+        for p in flac.Stream(data, 0).starts():
+            q = flac._header(data, p, 8)[0]
+            kind = data[q] >> 1 & 63
+            at = (q + 1) * 8 + 8 * flac.LPC + 9 + flac.LPC * flac.PRECISION + 2 if kind >= 32 else (q + 1) * 8 + 8 * (kind & 7) + 2
+            yield kind, flac._Bits(data).one(at, 4)
+
+    assert [k for k, _ in kinds(media[0])].count(31 + flac.LPC) == 39
+    assert len(media[0]) < 0.55 * len(wave)
+    assert 2 in {p for _, p in kinds(media[1])} and len(media[1]) < 0.65 * len(loud)
+    docs = flac.flac_encode(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text").collect()
+    found = [k for r in docs for k, _ in kinds(bytes(r.media))]
+    assert found.count(31 + flac.LPC) > len(found) / 4  # the rows of the test tables pass the linear predictor too
+
+
+def test_damaged_rows(spark):
+    good = flac.encode([b"some text " * 300])[0]
+    bad = good[:-9] + b"x" + good[-8:]
+    df = spark.createDataFrame([(1, good, "clash"), (2, bad, "c"), (3, None, "c"), (4, b"no flac", "c"), (5, good, "c")], "doc_id long, media binary, damage string")
+    rows = {r.doc_id: r for r in flac.flac_decode(df, damaged=True).collect()}
+    assert [i for i, r in rows.items() if r.pcm is None] == [2, 3, 4] and bytes(rows[5].pcm) == b"some text " * 300
+    assert rows[1].damage is None and rows[3].damage is None and "CRC" in rows[2].damage and "FLAC" in rows[4].damage
+
+
+def test_op3_columns(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = flac.op3_flac(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = flac.encode([full])[0]
+        want = (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want
+
+
+def test_op2_columns(spark):
+    library, at = Tokenizer.from_file(PATH), 0
+    rows = {r.doc_id: r for r in tokens.op2_token_files(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
+        assert (rows[r.doc_id].start, rows[r.doc_id].n_tokens, rows[r.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = tokens.WordIds(path)
+    assert not own.by_word and tokens.WordIds(PATH).by_word
+    for text in ("Hello,  World's end!\n\n x", "", "é½"):
+        assert np.frombuffer(own.encode(text.encode()), f"<u{own.width}").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
