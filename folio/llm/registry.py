@@ -23,5 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    own = {"op6_decontaminate": decontaminate.ORACLE, "op9_token_rollup": rollup.ORACLE}
+    own = {"op6_decontaminate": decontaminate.ORACLE}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
