@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,9 @@ CORE = 32_000
 #: Items behind those: groups of other words, by a hash of their last ENDING bytes.
 GROUPS = 2_048
 ENDING = 4
-ROUNDS = 6
+ROUNDS = 5
+#: Times within a round at which the class bigrams follow the moves.
+STEPS = 400
 #: Weight of class frequencies in transitions.
 SMOOTH = 20.0
 #: Share of the words seen once, and of unseen words' probability, that is for strings that don't look like words.
@@ -46,11 +48,14 @@ ODD = 0.02
 END = "\n"  # no word contains it
 UNSEEN = 64  # more than any class
 _BLOCK = 256  # items in a row of counts
-_TOKENS_AT_ONCE = 500_000
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, how many each has): A-Z in lower case, cut at ASCII white space. Null texts are empty."""
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(low)
+    some = pc.not_equal(low, "")
+    return lists.filter(some).flatten(), np.where(some.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0).astype(np.int64)
 
 
 def _group(word: bytes) -> int:
@@ -61,26 +66,26 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows; END counts the rows. Null texts are empty."""
 
     def run(batches):
-        total: Counter = Counter()
+        parts, rows = [], 0
         for batch in batches:
-            for text in byte_values(batch.column(0)):
-                total.update(_words(text))
-                total[END.encode()] += 1
-                if len(total) > 400_000:
-                    yield _table(total)
-                    total.clear()
-        if total:
-            yield _table(total)
+            parts.append(_words(batch.column(0))[0])
+            rows += batch.num_rows
+            if sum(map(len, parts)) > 5_000_000:
+                yield counted(parts)
+                parts = []
+        if parts:
+            yield counted(parts)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([rows])], names=["word", "n"])
+
+    def counted(parts):
+        found = pa.chunked_array(parts).value_counts()
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
     found = texts.select(text_col).mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _table(total: Counter) -> pa.RecordBatch:
-    words = pa.array(list(total), pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([words, pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     """(word, n) of the `most` most frequent words; by falling count and word.
 
@@ -175,62 +180,67 @@ def groups_once(counts: DataFrame) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, train: Column, core: dict[bytes, int], spelling: Spelling, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, train, items, pos, word, spell), one for each row of docs.
+    """Blocks of texts: (block, ids, train, sizes, items, others, words, shares), one for each Arrow batch of docs.
 
-    items: little-endian uint16 of the text's words and an end; pos, word, spell: place, word and Spelling.share of those that aren't in the core.
+    sizes: tokens of each text; items: little-endian uint16 of all texts' words, an end after each text; others: little-endian uint32, for each
+    item beyond the core the number of its word in words; shares: Spelling.share of those words.
     """
-
     other = len(core) + 1
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 36
+        block = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(1)
-            items, at, others, sizes, first, tokens = [], [], [], [0], 0, 0
-            texts = byte_values(batch.column(2))
-            for i, text in enumerate(texts):
-                words = _words(text)
-                found = [core.get(w) or other + _group(w) for w in words]
-                found.append(0)
-                own = np.array(found, "<u2")
-                items.append(own.tobytes())
-                places = np.flatnonzero(own >= other)
-                at.append(places)
-                others += [words[j] for j in places.tolist()]
-                sizes.append(len(others))
-                tokens += len(found)
-                if tokens >= _TOKENS_AT_ONCE or i + 1 == len(texts):
-                    ends, n = pa.array(sizes, pa.int32()), len(items)
-                    lists = [pa.array(np.concatenate(at), pa.int32()), pa.array(others, pa.binary()).cast(pa.string()), pa.array(spelling.share(others), pa.float32())]
-                    columns = [pa.array(np.arange(row, row + n)), ids.slice(first, n), marks.slice(first, n), pa.array(items, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, x) for x in lists)], names=["row", "id", "train", "items", "pos", "word", "spell"])
-                    row, first = row + n, i + 1
-                    items, at, others, sizes, tokens = [], [], [], [0], 0
+            flat, sizes = _words(batch.column(2))
+            named = flat.dictionary_encode()
+            own = byte_values(named.dictionary)
+            item = np.array([core.get(w) or other + _group(w) for w in own], np.int64)
+            number = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            items = np.zeros(len(flat) + len(sizes), "<u2")
+            ends = np.cumsum(sizes + 1) - 1
+            inside = np.ones(len(items), bool)
+            inside[ends] = False
+            items[inside] = item[number] if len(number) else 0
+            beyond = np.flatnonzero(item >= other)
+            place = np.zeros(len(own), np.int64)
+            place[beyond] = np.arange(len(beyond))
+            others = place[number[item[number] >= other]] if len(number) else number
+            words = named.dictionary.take(pa.array(beyond))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            columns = [pa.array([block]), one(batch.column(0)), one(batch.column(1)), one(pa.array(sizes + 1, pa.int32())), pa.array([items.tobytes()]), pa.array([others.astype("<u4").tobytes()])]
+            yield pa.RecordBatch.from_arrays([*columns, one(words), one(pa.array(spelling.share(byte_values(words)), pa.float32()))], names=["block", "ids", "train", "sizes", "items", "others", "words", "shares"])
+            block += 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, train boolean, items binary, pos array<int>, word array<string>, spell array<float>")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, train array<boolean>, sizes array<int>, items binary, others binary, words array<string>, shares array<float>")
 
 
-def _contexts(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(items, class before, class after) of texts in a row."""
-    x = np.frombuffer(data, "<u2").astype(np.int64)
+def _contexts(x: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class before, class after) of the items x, texts in a row."""
     own = classes[x]
     after = np.concatenate([own[1:], [0]])
     after[x == 0] = 0  # nothing is told by the text after
-    return x, np.concatenate([[0], own[:-1]]), after
+    return np.concatenate([[0], own[:-1]]), after
+
 
+def _blocks(batch: pa.RecordBatch, train: int, sizes: int, items: int):
+    """(number, items, whether each is of a training text) of the blocks in a batch; train, sizes, items: its columns."""
+    for i in range(batch.num_rows):
+        x = np.frombuffer(batch.column(items)[i].as_py(), "<u2").astype(np.int64)
+        use = batch.column(train)[i].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield i, x, np.repeat(use, batch.column(sizes)[i].values.to_numpy(zero_copy_only=False))
 
-def context_counts(items: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """(items, 2 * ALL): how often each class stands before, and after, each item."""
+
+def context_counts(rows: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """(items, 2 * ALL): how often each class stands before, and after, each item of training texts, in sequences() rows."""
     n, wide = len(classes), 2 * ALL
 
     def count(batches):
         total = np.zeros(n * wide, np.int64)
         for batch in batches:
-            data = byte_values(batch.column(0))
-            for i in range(0, len(data), 2000):
-                x, before, after = _contexts(b"".join(data[i : i + 2000]), classes)
+            for _, x, use in _blocks(batch, 0, 1, 2):
+                x = x[use]
+                before, after = _contexts(x, classes)
                 total += np.bincount(x * wide + before, minlength=len(total))
                 total += np.bincount(x * wide + ALL + after, minlength=len(total))
         rows = total.reshape(n, wide)
@@ -250,7 +260,7 @@ def context_counts(items: DataFrame, classes: np.ndarray) -> np.ndarray:
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([zlib.compress(total.tobytes(), 1)])], names=["block", "counts"])
 
-    parts = items.mapInArrow(count, "block long, counts binary").repartition("block").sortWithinPartitions("block")
+    parts = rows.select("train", "sizes", "items").mapInArrow(count, "block long, counts binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros((n, wide), np.int64)
     for block, data in parts.mapInArrow(add, "block long, counts binary").collect():  # items x classes, whatever the corpus
         rows = np.frombuffer(zlib.decompress(data), np.int64).reshape(-1, wide)
@@ -297,80 +307,98 @@ def first_classes(core: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def cluster(items: DataFrame, core: dict[bytes, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def moved(counts: np.ndarray, classes: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """classes after the items `which` have gone, some at a time, to their best class; n follows them, so they don't all run to one class."""
+    classes, n = classes.copy(), n.copy()
+    step = max(1, len(which) // STEPS)
+    for i in range(0, len(which), step):
+        own = which[i : i + step]
+        best = 1 + gains(counts[own], classes[own], n).argmax(axis=1)
+        for item, c in zip(own[best != classes[own]], best[best != classes[own]], strict=True):
+            left, right, a = counts[item, :ALL], counts[item, ALL:], classes[item]
+            n[:, a] -= left
+            n[a] -= right
+            n[:, c] += left
+            n[c] += right
+            classes[item] = c
+        np.maximum(n, 0, out=n)
+    return classes
+
+
+def cluster(rows: DataFrame, core: dict[bytes, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each item, class bigrams, likelihoods of the rounds that were kept)."""
     classes, best, risen = first_classes(core), None, []
-    part = 2  # one in so many items moves
-    turn = np.arange(1, len(classes)) * 2654435761 % 2**32 >> 8
+    part = 1  # one in so many items moves
+    turn = np.arange(len(classes)) * 2654435761 % 2**32 >> 8
     for i in range(rounds + 1):
-        counts = context_counts(items, classes)
+        counts = context_counts(rows, classes)
         n = bigrams(counts, classes)
         if best is None or likelihood(n) > risen[-1]:
-            found = gains(counts[1:], classes[1:], n) if i < rounds else None
-            best = classes, n, found, counts[1:].any(axis=1)
+            best = classes, n, counts
             risen.append(likelihood(n))
         else:  # too many at once
             part *= 2
         if i == rounds or not n[1:].any():
             break
-        now, _, found, seen = best
-        classes = now.copy()
-        moved = np.flatnonzero(((turn + i) % part == 0) & seen)
-        classes[moved + 1] = 1 + found[moved].argmax(axis=1)
+        now, before, counts = best
+        seen = np.flatnonzero(counts.any(axis=1) & ((turn + i) % part == 0))
+        classes = moved(counts, now, before, seen[seen > 0])
     return best[0], best[1], risen
 
 
 def other_classes(rows: DataFrame, classes: np.ndarray, n: np.ndarray) -> DataFrame:
-    """(word, class) of the words beyond the core that occur more than once: each by its own contexts."""
-    square = ALL * ALL
+    """(key, class) of the words beyond the core that occur more than once: each by its own contexts. key: xxhash64 of the word."""
+    square, other = ALL * ALL, len(classes) - GROUPS
 
     def contexts(batches):
         for batch in batches:
-            data, at, words = byte_values(batch.column(0)), batch.column(1), batch.column(2)
-            for i in range(0, len(data), 1000):
-                _, before, after = _contexts(b"".join(data[i : i + 1000]), classes)
-                own = at.slice(i, 1000)
-                sizes = np.array([len(x) // 2 for x in data[i : i + 1000]], np.int64)
-                starts = np.repeat(np.cumsum(sizes) - sizes, pc.list_value_length(own).to_numpy(zero_copy_only=False))
-                places = starts + own.flatten().to_numpy()
-                named = words.slice(i, 1000).flatten().dictionary_encode()
-                codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) * square + before[places] * ALL + after[places]
+            for i, x, use in _blocks(batch, 0, 1, 2):
+                before, after = _contexts(x, classes)
+                beyond = x >= other
+                word = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.int64)[use[beyond]]
+                at = np.flatnonzero(beyond & use)
+                codes = (word * ALL + classes[x[at]]) * square + before[at] * ALL + after[at]
                 codes, times = np.unique(codes, return_counts=True)  # what a block holds of a word is one row for each context
-                out = [named.dictionary.take(pa.array(codes // square)), pa.array((codes % square).astype(np.int32)), pa.array(times.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(out, names=["word", "context", "n"])
+                keys = np.array([xxhash.xxh64_intdigest(w, 42) for w in byte_values(batch.column(4)[i].values)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[codes // (square * ALL)]), pa.array(codes % (square * ALL) << 32 | times)], names=["key", "seen"])
 
     def choose(batches):
-        held, total = None, None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            runs = batch.column(0).dictionary_encode()  # in sorted rows, words come in the order of their numbers
-            code, times = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
-            at = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 * ALL
-            size = len(runs.dictionary) * 2 * ALL
-            counts = np.bincount(at + code // ALL, times, size) + np.bincount(at + ALL + code % ALL, times, size)
-            counts = counts.reshape(-1, 2 * ALL)
-            words = runs.dictionary
-            if held is not None and words[0].as_py() == held:
-                counts[0] += total
+            key, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            code, times = seen >> 32, seen & (1 << 32) - 1
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            starts = np.flatnonzero(first)
+            at = (np.cumsum(first) - 1) * 2 * ALL
+            size = len(starts) * 2 * ALL
+            counts = np.bincount(at + code % square // ALL, times, size) + np.bincount(at + ALL + code % ALL, times, size)
+            keys, own, counts = key[starts], code[starts] // square, counts.reshape(-1, 2 * ALL)
+            if held is not None and keys[0] == held[0][0]:
+                counts[0] += held[2][0]
             elif held is not None:
-                yield chosen(pa.array([held]), total[None])
-            held, total = words[-1].as_py(), counts[-1].copy()  # it may go on in the next batch
-            yield chosen(words.slice(0, len(words) - 1), counts[:-1])
+                yield chosen(*held)
+            held = keys[-1:], own[-1:], counts[-1:].copy()  # it may go on in the next batch
+            yield chosen(keys[:-1], own[:-1], counts[:-1])
         if held is not None:
-            yield chosen(pa.array([held]), total[None])
+            yield chosen(*held)
 
-    def chosen(words, counts):
+    def chosen(keys, own, counts):
         many = counts[:, :ALL].sum(axis=1) > 1
-        counts = counts[many]
-        words = words.filter(pa.array(many))
-        own = classes[[_group(w) - GROUPS for w in byte_values(words)]] if len(words) else np.zeros(0, np.int64)
+        keys, own, counts = keys[many], own[many], counts[many]
         best = [1 + gains(counts[i : i + 2000], own[i : i + 2000], n).argmax(axis=1) for i in range(0, len(counts), 2000)]
         best = np.concatenate(best) if best else np.zeros(0)
-        return pa.RecordBatch.from_arrays([words, pa.array(best.astype(np.int32))], names=["word", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(best.astype(np.int32))], names=["key", "class"])
+
+    found = rows.select("train", "sizes", "items", "others", "words").mapInArrow(contexts, "key long, seen long")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(choose, "key long, class int")
 
-    found = rows.where("train and size(pos) > 0").select("items", "pos", "word").mapInArrow(contexts, "word string, context int, n long")
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word string, class int")
+
+def lexicon_of(counts: DataFrame, named: DataFrame) -> DataFrame:
+    """(word, n, class) of the words beyond the core; class is null for those that are seen once."""
+    words = counts.where(F.col("word") != END).withColumn("key", F.xxhash64("word"))
+    return words.join(named, "key", "left").where(F.col("class").isNotNull() | (F.col("n") == 1)).select("word", "n", "class")
 
 
 class Model:
@@ -395,71 +423,60 @@ def discount(once: int, twice: int) -> float:
 
 
 def classed(rows: DataFrame, lexicon: DataFrame, classes: np.ndarray, frequent: np.ndarray, tokens: int, distinct: int, less: float) -> DataFrame:
-    """(id, train, classes, n_tokens, n_known, base_score, words), one for each of the rows.
+    """(id, train, classes, n_tokens, n_known, base_score, words), one for each text of sequences() rows.
 
     classes: a byte for each word and the end, UNSEEN more for unseen words; words: sum of log10 of the known words' counts, less the discount,
-    and of the unseen ones' Spelling.share. Words beyond the core meet their count and class by a join, and their text by its row.
+    and of the unseen ones' Spelling.share. A block's words beyond the core meet their count and class by a join, and their block by its number.
     """
-    kind = rows.schema["id"].dataType
+    kind = rows.schema["ids"].dataType.elementType
+    other = len(frequent)
     base = lambda n: np.log10((n + 0.1) / (tokens + 0.1 * (distinct + 1)))
     core_base, core_log = base(frequent), np.log10(np.maximum(frequent - less, 1e-9))
     core_log[0] = 0.0  # the end is all that its class has
     names = ["id", "train", "classes", "n_tokens", "n_known", "base_score", "words"]
 
-    def finish(key, mark, items, own, known, parts):
-        core = items[items < len(frequent)]
-        seen = int((frequent[core] > 0).sum())
-        return key, mark, own.tobytes(), len(items), seen + known, float(core_base[core].sum()) + parts[0], float(core_log[core].sum()) + parts[1]
+    def finish(ids, train, sizes, items, others, shares, number, n):
+        x = np.frombuffer(items, "<u2").astype(np.int64)
+        own, at = classes[x].astype(np.uint8), x >= other
+        word = np.frombuffer(others, "<u4")
+        times = n[word]
+        own[at] = np.where(number[word] > 0, number[word], own[at] + np.where(times > 0, 0, UNSEEN))
+        core = np.where(at, 0, x)
+        base_part, log_part, known = core_base[core], core_log[core], frequent[core] > 0
+        base_part[at], known[at] = base(times), times > 0
+        log_part[at] = np.where(times > 0, np.log10(np.maximum(times - less, 1e-9)), shares[word])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        text = [own[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base_part, log_part)]
+        return pa.RecordBatch.from_arrays([ids, train, pa.array(text, pa.binary()), pa.array(sizes), *map(pa.array, sums)], names=names)
 
     def run(batches):
-        now, out = None, []
+        now = None
         for batch in batches:
-            pos = batch.column(1).to_numpy()
-            number, n = batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_numpy(zero_copy_only=False)
-            spell = batch.column(7).to_numpy(zero_copy_only=False)
-            edges = [0, *np.flatnonzero(pos < 0).tolist(), len(pos)]
+            at = batch.column(1).to_numpy()
+            number, n = batch.column(8).to_numpy(zero_copy_only=False), batch.column(9).to_numpy(zero_copy_only=False)
+            edges = [0, *np.flatnonzero(at < 0).tolist(), len(at)]
             for j in range(len(edges) - 1):
                 a, b = edges[j], edges[j + 1]
-                if j:  # a text begins
+                if j:  # a block begins
                     if now:
-                        out.append(finish(*now))
-                    items = np.frombuffer(batch.column(4)[a].as_py(), "<u2").astype(np.int64)
-                    now = [batch.column(2)[a].as_py(), batch.column(3)[a].as_py(), items, classes[items].astype(np.uint8), 0, [0.0, 0.0]]
+                        yield finish(*now)
+                    shares = batch.column(7)[a].values.to_numpy(zero_copy_only=False).astype(float)
+                    now = [batch.column(2)[a].values, batch.column(3)[a].values, batch.column(4)[a].values.to_numpy(zero_copy_only=False).astype(np.int64), batch.column(5)[a].as_py(), batch.column(6)[a].as_py(), shares]
+                    now += [np.zeros(len(shares), np.int64), np.zeros(len(shares), np.int64)]
                     a += 1
                 if a < b:
-                    at, times, own = pos[a:b], n[a:b].astype(np.int64), number[a:b]
-                    now[3][at] = np.where(own > 0, own, now[3][at] + np.where(times > 0, 0, UNSEEN))
-                    now[4] += int((times > 0).sum())
-                    now[5][0] += float(base(times).sum())
-                    now[5][1] += float(np.where(times > 0, np.log10(np.maximum(times, 1) - less), spell[a:b]).sum())
-            if len(out) > 2000:
-                yield _rows(out, kinds, names)
-                out = []
+                    now[6][at[a:b]], now[7][at[a:b]] = number[a:b], n[a:b]
         if now:
-            out.append(finish(*now))
-        if out:
-            yield _rows(out, kinds, names)
-
-    kinds = [_arrow_type(kind), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    others = rows.select("row", F.explode(F.arrays_zip("pos", "word", "spell")).alias("x")).select("row", "x.pos", "x.word", "x.spell")
-    others = others.join(lexicon, "word", "left")
-    others = others.select(
-        "row", "pos", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("items"),
-        F.coalesce("class", F.lit(0)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"), "spell",
-    )
-    heads = rows.select("row", F.lit(-1).alias("pos"), "id", "train", "items", F.lit(0).alias("class"), F.lit(0).cast("long").alias("n"), F.lit(0.0).cast("float").alias("spell"))
-    merged = heads.union(others).repartition("row").sortWithinPartitions("row", "pos")
-    return merged.mapInArrow(run, f"id {kind.simpleString()}, train boolean, classes binary, n_tokens long, n_known long, base_score double, words double")
-
-
-def _arrow_type(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield finish(*now)
 
-    return to_arrow_type(kind)
-
-
-def _rows(out: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    arrays = ["ids", "train", "sizes", "items", "others", "shares"]
+    words = rows.select("block", F.posexplode("words").alias("at", "word")).join(lexicon, "word")
+    words = words.select("block", "at", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in arrays], F.coalesce("class", F.lit(0)).alias("class"), "n")
+    heads = rows.select("block", F.lit(-1).alias("at"), *arrays, F.lit(0).alias("class"), F.lit(0).cast("long").alias("n"))
+    merged = heads.union(words).repartition("block").sortWithinPartitions("block", "at")
+    return merged.mapInArrow(run, f"id {kind.simpleString()}, train boolean, classes binary, n_tokens long, n_known long, base_score double, words double")
 
 
 def class_bigrams(rows: DataFrame) -> np.ndarray:
@@ -514,9 +531,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     frequent = np.array([texts, *(n for _, n in top)], np.int64)
     spelling, alone = learn_spelling(counts), groups_once(counts)
     rows = materialize(sequences(docs, train, core, spelling, id_col, text_col), "sequences")
-    classes, n, _ = cluster(rows.where("train").select("items"), core)
-    named = other_classes(rows, classes, n)
-    lexicon = materialize(counts.where(F.col("word") != END).join(named, "word", "left").where(F.col("class").isNotNull() | (F.col("n") == 1)), "lexicon")
+    classes, n, _ = cluster(rows, core)
+    lexicon = materialize(lexicon_of(counts, other_classes(rows, classes, n)), "lexicon")
     less = discount(once, twice)
     found = materialize(classed(rows, lexicon, classes, frequent, tokens, distinct, less), "classed")
     known = np.bincount(classes[1 : len(top) + 1], minlength=ALL)

@@ -105,7 +105,7 @@ def brute_model(spark, rows, size):
     core = {w.encode(): i + 1 for i, (w, _) in enumerate(top)}
     spelling = classlm.learn_spelling(counts)
     seqs = classlm.materialize(classlm.sequences(docs, F.lit(True), core, spelling), "s")
-    classes, n, risen = classlm.cluster(seqs.select("items"), core)
+    classes, n, risen = classlm.cluster(seqs, core)
     return counts, core, spelling, seqs, classes, n, risen
 
 
@@ -119,7 +119,7 @@ def sample(seed, texts=300):
 def test_words_beyond_the_core_have_an_exchange_of_their_own(spark):
     rows = sample(1)
     counts, core, _, seqs, classes, n, _ = brute_model(spark, rows, 20)
-    got = {r.word: r["class"] for r in classlm.other_classes(seqs, classes, n).collect()}
+    got = {r.word: r["class"] for r in classlm.lexicon_of(counts, classlm.other_classes(seqs, classes, n)).where("class is not null").collect()}
     contexts = {}
     for _, text, _, _ in rows:
         words = text.encode().split()
@@ -136,7 +136,7 @@ def test_words_beyond_the_core_have_an_exchange_of_their_own(spark):
 def test_held_out_texts_gain_by_classes(spark):
     docs = spark.createDataFrame(sample(5, 1700), "doc_id long, text string, row int, word string")
     got = classlm.score(docs, F.col("doc_id") < 1500, size=60)[0].where("doc_id >= 1500").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > 0.85 * got[1]
+    assert got[0] > 0.9 * got[1]
 
 
 def test_gains_are_the_change_of_the_likelihood():
@@ -182,7 +182,7 @@ def test_probabilities_sum_to_one_and_scores_match_them(spark):
     rows = [*sample(4, 60), (900, "b1 once0 twice twice", 1, "c"), (901, None, 1, "c"), (902, "", 1, "c")]
     counts, core, spelling, seqs, classes, n, _ = brute_model(spark, rows, 30)
     times = {r.word: r.n for r in counts.collect()}
-    lexicon = counts.where(f"word != '{classlm.END}'").join(classlm.other_classes(seqs, classes, n), "word", "left").where("class is not null or n = 1")
+    lexicon = classlm.lexicon_of(counts, classlm.other_classes(seqs, classes, n))
     spelled = lambda w: int(classes[classlm._group(w.encode()) - classlm.GROUPS])
     named = {w.decode(): int(classes[i]) for w, i in core.items()} | {r.word: r["class"] or spelled(r.word) for r in lexicon.collect()} | {classlm.END: 0}
     assert set(named) == set(times)
