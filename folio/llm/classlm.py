@@ -38,9 +38,9 @@ CORE = 32_000
 #: Items behind those: groups of other words, by a hash of their last ENDING bytes.
 GROUPS = 2_048
 ENDING = 4
-ROUNDS = 5
+ROUNDS = 6
 #: Times within a round at which the class bigrams follow the moves.
-STEPS = 400
+STEPS = 20
 #: Weight of class frequencies in transitions.
 SMOOTH = 20.0
 #: Share of the words seen once, and of unseen words' probability, that is for strings that don't look like words.
@@ -328,7 +328,7 @@ def moved(counts: np.ndarray, classes: np.ndarray, n: np.ndarray, which: np.ndar
 def cluster(rows: DataFrame, core: dict[bytes, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each item, class bigrams, likelihoods of the rounds that were kept)."""
     classes, best, risen = first_classes(core), None, []
-    part = 1  # one in so many items moves
+    part = 2  # one in so many items moves
     turn = np.arange(len(classes)) * 2654435761 % 2**32 >> 8
     for i in range(rounds + 1):
         counts = context_counts(rows, classes)

@@ -45,9 +45,54 @@ def test_templates(spark):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def leaks_and_sql(spark, tmp_path, docs, items):
+    """{(doc, item): (changed, coverage)}, the same by SQL."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {(a, b): (c, d) for a, b, c, d in con.sql(f"select doc_id, item_id, changed, coverage from ({decontaminate.ORACLE})").fetchall()}
+    got = {(r.doc_id, r.item_id): (r.changed, r.coverage) for r in decontaminate.op6_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == want
+    return got
+
+
+def test_names_that_begin_sentences_and_names_of_two_words(spark, tmp_path):
+    item = "Tom has 5 apples. Tom gives 2 to Ann. How many has Tom left?"
+    docs = [
+        (1, "Sam has 7 apples. Sam gives 3 to Eve. How many has Sam left?"), (2, "Sam Lee has 7 apples. Sam Lee gives 3 to Eve. How many has Sam Lee left?"),
+        (3, "Sam has 7 apples. Ben gives 3 to Eve. How many has Tim left?"), (4, "The cook has 7 apples. The cook gives 3 to Eve. How many has Sam left?"),
+    ]
+    assert leaks_and_sql(spark, tmp_path, docs, [(1, item)]) == {(1, 1): (4, 1.0), (2, 1): (4, 1.0)}
+
+
+def test_short_items_and_items_without_words(spark, tmp_path):
+    items = [(1, "Two plus two makes?"), (2, "Tiny"), (3, "7 + 5 ="), (4, " ".join(map(str, range(20)))), (5, "?!")]
+    numbers = " ".join(str(i * 7919 % 10**6) for i in range(100_000))
+    docs = [(1, "They ask: two plus two makes? Nobody knows."), (2, "A tiny text."), (3, "tiny"), (4, "Tiny"), (5, "7 5"), (6, "8 5"), (7, "it is 7 + 5 = 12"), (8, " ".join(map(str, range(20)))), (9, numbers), (10, "?!"), (11, "x 1 " * 20_000)]
+    assert leaks_and_sql(spark, tmp_path, docs, items) == {(1, 1): (0, 1.0), (4, 2): (0, 1.0), (5, 3): (0, 1.0), (8, 4): (0, 1.0)}
+
+
+def test_recall_with_inserted_words(spark):
+    rng = random.Random(9)
+    words = [f"word{c}{d}" for c in "abcdefgh" for d in "xyzuvw"]
+    items = [(i, " ".join(rng.choices(words, k=24))) for i in range(20)]
+    docs = []
+    for i, text in items:
+        for n in range(1, 4):
+            own = text.split()
+            for at in sorted(rng.sample(range(1, len(own)), n), reverse=True):
+                own.insert(at, "inserted")
+            docs.append((10 * i + n, " ".join([*rng.choices(words, k=30), *own, *rng.choices(words, k=30)])))
+    found = {r.doc_id for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    rates = [sum(10 * i + n in found for i, _ in items) / len(items) for n in range(1, 4)]
+    assert rates[0] == 1 and rates[1] > 0.2 and found.isdisjoint({10 * i for i, _ in items}), rates  # half of the windows must be whole
+
+
 def test_no_python_in_the_leak_plan(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    plan = decontaminate.windows(docs, "doc_id", "text", [8, 5])._jdf.queryExecution().executedPlan().toString()
+    plan = decontaminate.document_windows(docs, "doc_id", "text", [8, 5], True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
