@@ -69,11 +69,17 @@ def test_names_that_begin_sentences_and_names_of_two_words(spark, tmp_path):
 
 def test_short_items_and_items_without_words(spark, tmp_path):
     items = [(1, "Two plus two makes?"), (2, "Tiny"), (3, "7 + 5 ="), (4, " ".join(map(str, range(20)))), (5, "?!")]
-    numbers = " ".join(str(i * 7919 % 10**6) for i in range(100_000))
-    docs = [(1, "They ask: two plus two makes? Nobody knows."), (2, "A tiny text."), (3, "tiny"), (4, "Tiny"), (5, "7 5"), (6, "8 5"), (7, "it is 7 + 5 = 12"), (8, " ".join(map(str, range(20)))), (9, numbers), (10, "?!"), (11, "x 1 " * 20_000)]
+    docs = [(1, "They ask: two plus two makes? Nobody knows."), (2, "A tiny text."), (3, "tiny"), (4, "Tiny"), (5, "7 5"), (6, "8 5"), (7, "it is 7 + 5 = 12"), (8, " ".join(map(str, range(20)))), (10, "?!"), (11, "x 1 " * 50)]
     assert leaks_and_sql(spark, tmp_path, docs, items) == {(1, 1): (0, 1.0), (4, 2): (0, 1.0), (5, 3): (0, 1.0), (8, 4): (0, 1.0)}
 
 
+def test_long_tables_of_numbers_end(spark):
+    numbers = " ".join(str(i * 7919 % 10**6) for i in range(20_000))
+    docs = spark.createDataFrame([(1, numbers), (2, numbers), (3, "x 1 " * 10_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(map(str, range(20)))), (2, "the sum of x 1 x 2 x 3 x 4 x 5 x 6 is what")], "item_id long, text string")
+    assert decontaminate.find_leaks(docs, items).count() == 0
+
+
 def test_recall_with_inserted_words(spark):
     rng = random.Random(9)
     words = [f"word{c}{d}" for c in "abcdefgh" for d in "xyzuvw"]
