@@ -473,7 +473,8 @@ def classed(rows: DataFrame, lexicon: DataFrame, classes: np.ndarray, frequent:
 
     arrays = ["ids", "train", "sizes", "items", "others", "shares"]
     words = rows.select("block", F.posexplode("words").alias("at", "word")).join(lexicon, "word")
-    words = words.select("block", "at", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in arrays], F.coalesce("class", F.lit(0)).alias("class"), "n")
+    empty = lambda c: (F.lit(bytearray()) if c in ("items", "others") else F.array()).cast(rows.schema[c].dataType).alias(c)  # noqa: E731  nulls in a row cost Arrow much more
+    words = words.select("block", "at", *map(empty, arrays), F.coalesce("class", F.lit(0)).alias("class"), "n")
     heads = rows.select("block", F.lit(-1).alias("at"), *arrays, F.lit(0).alias("class"), F.lit(0).cast("long").alias("n"))
     merged = heads.union(words).repartition("block").sortWithinPartitions("block", "at")
     return merged.mapInArrow(run, f"id {kind.simpleString()}, train boolean, classes binary, n_tokens long, n_known long, base_score double, words double")

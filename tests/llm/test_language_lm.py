@@ -201,7 +201,7 @@ def test_probabilities_sum_to_one_and_scores_match_them(spark):
         assert abs(sum(10 ** word[w] for w in named if named[w] == c) + (10 ** model.unseen[c] * unseen[c] if c else 0) - 1) < 1e-9, c
     assert np.allclose((10**spelling.table).sum(axis=1), 1)
     assert abs(spelling.known - sum(10 ** spelling.log([w.encode()])[0][0] for w in times if w != classlm.END)) < 1e-9
-    likely, odd = spelling.share([b"a777", b"\xc3\xa4?="])  # so many words share 1 - ODD, and all other strings ODD
+    likely, odd = spelling.share([b"once0", b"\xc3\xa4?="])  # so many words share 1 - ODD, and all other strings ODD
     assert abs(10**likely * spelling.unseen - (1 - classlm.ODD)) < 1e-9
     assert abs(odd - spelling.log([b"\xc3\xa4?="])[0][0] - math.log10(classlm.ODD / (1 - spelling.known))) < 1e-9
     new = [*rows, (903, "b1 Never a2 seen b1 b1", 1, "c"), (903, "b1 Never a2 seen b1 b1", 1, "c"), (None, "a1", 1, "c")]
