@@ -23,18 +23,32 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary folder becomes it."""
+    """The folder in spark.checkpoint.dir. Where that is unset and Spark runs on this machine alone (tests), a new temporary folder becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     bounded_batches(spark)
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession, keep: list[str]) -> None:
+    """Deletes all tables made below the shared folder so far but those in keep. What still reads them fails then."""
+    for path in [x for x in _scratch if x not in keep]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _scratch.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

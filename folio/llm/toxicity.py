@@ -141,7 +141,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
     """({word: log odds}, {beginning: log odds}) of terms that several toxic texts share and others have less."""
-    rows = rows.dropDuplicates(["text"])
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
     toxic = rows.where("toxic = 1").count()
     if not toxic:
         return {}, {}
