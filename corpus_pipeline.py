@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, language, nearcopies, pieces, simhash, toxicity
-from folio.llm.common import materialize, scratch_path
+from folio.llm.common import clear_scratch, materialize, scratch_path
 
 #: Mean out-of-place score below which a prediction is no more than chance.
 LEAST_LANGUAGE_SCORE = 0.15
@@ -90,10 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage has left there goes when its rows are written, so other queries' tables made in this process before go too.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clear_scratch(spark, [path])
     return docs
