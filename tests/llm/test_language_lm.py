@@ -45,7 +45,8 @@ def test_distances_match_brute_force():
             assert (lang, score) == ("und", 0.0)
             continue
         far = {k: sum(abs(p.index(g) - r) if g in p else 300 for r, g in sorted_by_key(text)) for k, p in profiles.items()}
-        assert len(own) and lang == min(far, key=lambda k: (far[k], k)) and 0 <= score <= 1
+        assert len(own) and lang == min(far, key=lambda k: (far[k], k))
+        assert abs(score - (1 - far[lang] / (300 * len(list(sorted_by_key(text)))))) < 1e-12
 
 
 def sorted_by_key(text):

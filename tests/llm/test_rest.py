@@ -1,4 +1,7 @@
+import hashlib
 import random
+import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -141,6 +144,17 @@ def test_pieces_match_the_library(spark):
             assert own.decode(ids) == text
 
 
+def test_op8_columns(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rows = {r.doc_id: r for r in pieces.op8_pieces(spark, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for i, text in texts.items():
+        ids, r = library.encode(text), rows[i]
+        decoded = library.decode(ids)
+        assert (r.n_tokens, r.ids_crc32, r.decoded_sha256, r.same) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
+
+
 def test_unigram_way_is_the_best_sum():
     own = pieces.Pieces(pieces.model_path(), "unigram")
     rng = random.Random(7)
@@ -231,6 +245,38 @@ def test_toxicity_finds_insults(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 900 and r.doc_id % 5 == 0]
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.93
     assert toxicity.score(docs.limit(0), model).count() == 0
+    # insults that only the labels teach, held out
+    own = [r for r in held if "grumbo" in rows[r.doc_id][1] and not {"idiot", "sc*m"} & set(rows[r.doc_id][1].split())]
+    assert len(own) > 5 and np.mean([r.predicted for r in own]) > 0.8
+    # calibration: the score follows the trees' probability and never falls
+    made = toxicity.with_features(docs, model.words, model.starts, keep=["doc_id", "text"])
+    raw = model.trees.transform(toxicity._assembled(made)).select("row.doc_id", toxicity.vector_to_array("probability")[1].alias("p")).collect()
+    points = sorted({(r.p, s.score) for r in raw for s in got if s.doc_id == r.doc_id and r.doc_id is not None and r.doc_id != 3})
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(points, points[1:], strict=False)) and len({s for _, s in points}) > 1
+
+
+def test_features_by_plain_counting():
+    rng = random.Random(10)
+    words, starts = {"grumbo": 2.0, "zonk": 3.0}, {"grum": 1.5, "grumb": 1.0}
+    vocabulary = ["You", "are", "an", "IDIOT", "grumbo", "zonk!", "1d10t", "the", "cat,", "tu", "Grumbos", "sc*m", "fine.", "42", "é"]
+    for _ in range(200):
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)))
+        got = dict(zip(toxicity.FEATURES, toxicity.features(text, words, starts), strict=True))
+        low = re.findall(r"\w+", text.lower())
+        n = max(1, len(low))
+        seed = [i for i, w in enumerate(low) if w in toxicity.SEED_WORDS]
+        person = [i for i, w in enumerate(low) if w in toxicity.SECOND_PERSON]
+        bad = [i for i, w in enumerate(low) if w in words or w in toxicity.SEED_WORDS]
+        near = sum(any(abs(i - j) <= toxicity.NEAR for j in person) for i in bad)
+        begun = sum(1.5 for w in low if w.startswith("grum"))
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        want = {
+            "seed_density": 100 * len(seed) / n, "learnt_density": 100 * sum(words.get(w, 0) for w in low) / n, "learnt_most": max((words[w] for w in low if w in words), default=0.0),
+            "start_density": 100 * begun / n, "near_density": 100 * near / n, "person_density": 100 * len(person) / n,
+            "capitals": sum(c.isupper() for c in letters) / max(1, len(letters)), "exclamation": 100 * text.count("!") / n,
+            "punctuation": sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text) / max(1, len(text)), "repetition": len(set(low)) / n,
+        }
+        assert {k: round(got[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}, text
 
 
 def test_toxicity_without_both_labels(spark):

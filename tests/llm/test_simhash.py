@@ -63,3 +63,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 101)}, 201: 200}
+
+
+def test_op1_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    prints = [plain(r.text) for r in docs]
+    want = {r.doc_id: (f"{p:016x}", c) for r, p, c in zip(docs, prints, reach(prints, [r.doc_id for r in docs]), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op1_simhash(spark, "/root/testdata/sf0.001").collect()} == want
