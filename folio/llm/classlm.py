@@ -38,7 +38,7 @@ CORE = 32_000
 #: Items behind those: groups of other words, by a hash of their last ENDING bytes.
 GROUPS = 2_048
 ENDING = 4
-ROUNDS = 6
+ROUNDS = 5
 #: Times within a round at which the class bigrams follow the moves.
 STEPS = 20
 #: Weight of class frequencies in transitions.
@@ -298,6 +298,21 @@ def gains(counts: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def small_gains(counts: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """gains() less the same for all classes, to the first order: for words whose counts are a small part of every class's."""
+    left, right = counts[:, :ALL].astype(float), counts[:, ALL:].astype(float)
+    l, r = left.sum(axis=1), right.sum(axis=1)  # noqa: E741
+    ins, outs = n.sum(axis=0), n.sum(axis=1)
+    log = np.log(n + 1)
+    out = left @ log + right @ log.T - np.outer(l, np.log(ins + 1)) - np.outer(r, np.log(outs + 1))
+    # its own class without the word
+    rows = np.arange(len(counts))
+    less = lambda a, b: np.log(np.maximum(a - b, 0) + 1)
+    alone = (left * less(n[:, own].T, left)).sum(axis=1) + (right * less(n[own], right)).sum(axis=1) - l * less(ins[own], l) - r * less(outs[own], r)
+    out[rows, own] = alone
+    return out[:, 1:]
+
+
 def first_classes(core: dict[bytes, int]) -> np.ndarray:
     """Where the exchange begins: by the last two bytes of a word, or the number of its group."""
     out = 1 + np.arange(len(core) + 1 + GROUPS) % CLASSES
@@ -387,8 +402,7 @@ def other_classes(rows: DataFrame, classes: np.ndarray, n: np.ndarray) -> DataFr
     def chosen(keys, own, counts):
         many = counts[:, :ALL].sum(axis=1) > 1
         keys, own, counts = keys[many], own[many], counts[many]
-        best = [1 + gains(counts[i : i + 2000], own[i : i + 2000], n).argmax(axis=1) for i in range(0, len(counts), 2000)]
-        best = np.concatenate(best) if best else np.zeros(0)
+        best = 1 + small_gains(counts, own, n).argmax(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(best.astype(np.int32))], names=["key", "class"])
 
     found = rows.select("train", "sizes", "items", "others", "words").mapInArrow(contexts, "key long, seen long")
@@ -452,31 +466,22 @@ def classed(rows: DataFrame, lexicon: DataFrame, classes: np.ndarray, frequent:
         return pa.RecordBatch.from_arrays([ids, train, pa.array(text, pa.binary()), pa.array(sizes), *map(pa.array, sums)], names=names)
 
     def run(batches):
-        now = None
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            number, n = batch.column(8).to_numpy(zero_copy_only=False), batch.column(9).to_numpy(zero_copy_only=False)
-            edges = [0, *np.flatnonzero(at < 0).tolist(), len(at)]
-            for j in range(len(edges) - 1):
-                a, b = edges[j], edges[j + 1]
-                if j:  # a block begins
-                    if now:
-                        yield finish(*now)
-                    shares = batch.column(7)[a].values.to_numpy(zero_copy_only=False).astype(float)
-                    now = [batch.column(2)[a].values, batch.column(3)[a].values, batch.column(4)[a].values.to_numpy(zero_copy_only=False).astype(np.int64), batch.column(5)[a].as_py(), batch.column(6)[a].as_py(), shares]
-                    now += [np.zeros(len(shares), np.int64), np.zeros(len(shares), np.int64)]
-                    a += 1
-                if a < b:
-                    now[6][at[a:b]], now[7][at[a:b]] = number[a:b], n[a:b]
-        if now:
-            yield finish(*now)
+            lists = [batch.column(i) for i in range(len(arrays) + 2)]
+            for i in range(batch.num_rows):
+                ids, train, sizes, items, others, shares, at, times = (x[i] for x in lists)
+                shares = shares.values.to_numpy(zero_copy_only=False).astype(float)
+                number, n = np.zeros(len(shares), np.int64), np.zeros(len(shares), np.int64)
+                if at.is_valid:
+                    code = at.values.to_numpy()
+                    number[code // UNSEEN], n[code // UNSEEN] = code % UNSEEN, times.values.to_numpy()
+                yield finish(ids.values, train.values, sizes.values.to_numpy().astype(np.int64), items.as_py(), others.as_py(), shares, number, n)
 
     arrays = ["ids", "train", "sizes", "items", "others", "shares"]
     words = rows.select("block", F.posexplode("words").alias("at", "word")).join(lexicon, "word")
-    empty = lambda c: (F.lit(bytearray()) if c in ("items", "others") else F.array()).cast(rows.schema[c].dataType).alias(c)  # noqa: E731  nulls in a row cost Arrow much more
-    words = words.select("block", "at", *map(empty, arrays), F.coalesce("class", F.lit(0)).alias("class"), "n")
-    heads = rows.select("block", F.lit(-1).alias("at"), *arrays, F.lit(0).alias("class"), F.lit(0).cast("long").alias("n"))
-    merged = heads.union(words).repartition("block").sortWithinPartitions("block", "at")
+    words = words.select("block", (F.col("at").cast("long") * UNSEEN + F.coalesce("class", F.lit(0))).alias("at"), "n")
+    words = words.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("times"))  # a block's words, no more than its text has
+    merged = rows.select("block", *arrays).join(words, "block", "left").select(*arrays, "at", "times")
     return merged.mapInArrow(run, f"id {kind.simpleString()}, train boolean, classes binary, n_tokens long, n_known long, base_score double, words double")
 
 
