@@ -74,28 +74,27 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
 
 
-def test_class_model_scores(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_class_model_scores(spark, tmp_path):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rng = random.Random(3)
-    junk = [(10**6 + i, " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10))) for _ in range(100))) for i in range(20)]
-    got, train_tokens = classlm.score(docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string")), fold("doc_id", 10) * F.when(F.col("doc_id") < 10**6, 1).otherwise(0) != 0)
-    rows = {r.doc_id: r for r in got.collect()}
-    own = {r.doc_id: r for r in classlm.op5_class_lm(spark, SF).collect()}
-    texts = {r.doc_id: (r.text or "").encode().lower().split() + [b"\n"] for r in docs.collect()}
-    counts = Counter(w for i, own in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in own)
+    junk = [(i, " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10))) for _ in range(100))) for i in range(10**6, 10**6 + 200) if held(i)]
+    docs.union(spark.createDataFrame(junk, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in classlm.op5_class_lm(spark, str(tmp_path)).collect()}
+    texts = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in [*map(tuple, docs.collect()), *junk]}
+    counts = Counter(w for i, own in texts.items() if not held(i) for w in own)
     n, v = sum(counts.values()), len(counts)
     better, per = 0.0, {}
     for i, words in texts.items():
         r = rows[i]
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
         assert abs(base - r.base_score) < 1e-6 * max(1, abs(base))
-        assert (r.n_tokens, r.n_known, train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
-        held = zlib.crc32(str(i).encode()) % 10 == 0
-        assert r.score < 0 and own[i].held_out == held and (own[i].score, own[i].base_score, own[i].train_tokens) == (r.score, r.base_score, n)
-        better += (r.score - r.base_score) * (not held)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(counts[w] > 0 for w in words), n, held(i))
+        assert r.score < 0
+        better += (r.score - r.base_score) * (not held(i))
         per[i] = r.score / r.n_tokens
-    assert better > 0
-    assert max(rows[i].score / 101 for i, _ in junk) < min(p for i, p in per.items() if zlib.crc32(str(i).encode()) % 10)
+    assert better > 0 and len(junk) > 10
+    assert max(per[i] for i, _ in junk) < min(p for i, p in per.items() if not held(i))
 
 
 def brute_model(spark, rows, size):
