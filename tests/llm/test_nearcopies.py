@@ -65,3 +65,29 @@ def test_pipeline_drops_copies_with_changed_words(spark):
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
     assert {r.doc_id for r in kept.collect()} == want
     assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.limit(0), "").count() == 0
+
+
+def test_pairs_of_a_large_family_are_never_rows(spark, monkeypatch):
+    """Texts that are alike, few of them at 0.8: the tables between the steps grow with the texts, not with their pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(300):
+        other = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([1, 2, 3, 4, 5, 5])):
+            other[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, t) for i, t in rows[::3]] + [(2000, " ".join(base))]
+    sizes = {}
+
+    def seen(df, name):
+        out = materialize(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    materialize = nearcopies.materialize
+    monkeypatch.setattr(nearcopies, "materialize", seen)
+    want = brute(rows)
+    assert {r.node: r.root for r in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert len(want) > 100
+    assert max(sizes.values()) <= nearcopies.BANDS * 301 and sizes["near"] <= 4 * 301 and sizes["more"] <= 301
