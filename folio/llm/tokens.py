@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -30,8 +31,8 @@ MAGIC = b"EFT1"
 HEAD = np.dtype([("part", "<u4"), ("block", "<u4"), ("width", "<u4"), ("low", "<u4"), ("docs", "<u8"), ("ids", "<u8")])
 #: A block ends with the document that reaches so many ids.
 BLOCK_IDS = 8_000_000
-#: Distinct words whose ids a task keeps.
-WORDS_KEPT = 300_000
+#: Distinct words, and pieces, of a generation whose ids a task keeps (it keeps two).
+WORDS_KEPT = 150_000
 #: One of so many high bits' ones has its place stored.
 EVERY = 64
 
@@ -139,36 +140,46 @@ class WordIds(dict):
         hidden = [b for b in range(256) if b not in shown]
         self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces: dict[str, bytes] = {"": b""}
+        self.older: dict[bytes, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+        self.letter = "H" if self.width == 2 else "I"
         own = json.loads(self.tokenizer.to_str())
         split = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_word = (own["normalizer"] or {}).get("normalizers") == _NORMALIZERS and split[0] == _SPLIT and [x["type"] for x in split[1:]] == ["ByteLevel"]
 
     def piece(self, text: str) -> bytes:
-        if text not in self.pieces:
-            shown = "".join(map(self.byte_level.__getitem__, text.encode()))
-            self.pieces[text] = self.number([x.id for x in self.model.tokenize(shown)])
-        return self.pieces[text]
+        out = self.pieces.get(text)
+        if out is None:
+            out = self.older_pieces.get(text)
+            if out is None:  # ASCII letters and punctuation are shown as themselves
+                shown = text if text.isascii() else "".join(map(self.byte_level.__getitem__, text.encode()))
+                out = self.number([x.id for x in self.model.tokenize(shown)])
+            self.pieces[text] = out
+        return out
 
     def number(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if plain:
-            out = self.piece(plain[1].lower()) + self.piece(plain[2])
-        else:
-            out = self.number(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        out = self.older.get(word)
+        if out is None:
+            if word.isalpha():  # ASCII letters only
+                out = self.piece(word.decode().lower())
+            elif plain := _PLAIN.fullmatch(text := word.decode()):
+                out = self.piece(plain[1].lower()) + self.piece(plain[2])
+            else:
+                out = self.number(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self[word] = out
         return out
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self.number(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-        if len(self) > WORDS_KEPT:
+        if len(self) > WORDS_KEPT:  # what comes again stays
+            self.older = dict(self)
             self.clear()
         if len(self.pieces) > WORDS_KEPT:
-            self.pieces = {"": b""}
+            self.pieces, self.older_pieces = {"": b""}, self.pieces
         return b"".join(map(self.__getitem__, text.split()))
 
 
