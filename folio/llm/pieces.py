@@ -60,9 +60,14 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.reach: dict[str, int] = {}  # the longest piece that ends with these two letters
+        # lengths of pieces that end with these letters (four, or three), the longest first; shorter ones that may
+        ends: dict[str, set[int]] = {}
         for p in self.id:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            for n in (3, 4):
+                if len(p) >= n:
+                    ends.setdefault(p[-n:], {1, 2, 3}).add(len(p))
+        self.reach = {x: tuple(sorted((n for n in found if n == 1 or n > len(x) or x[-n:] in self.id), reverse=True)) for x, found in ends.items() if len(x) == 4}
+        self.short = {x: tuple(n for n in (3, 2, 1) if n == 1 or x[-n:] in self.id) for x in ends if len(x) == 3}
 
     def _merged(self, text: str) -> list[str]:
         """Merges of letters, the best-scored pair first, the leftmost of equals."""
@@ -99,40 +104,39 @@ class Pieces:
                 best = (piece, total[start] + score[piece])
         return best
 
-    def _only(self, word: str, end: int, last: list[int]) -> tuple[int, int]:
-        """BPE: the last piece of the merge result of the letters up to `end`, given those of all places before, and its length."""
-        ids, pairs = self.id, self.pairs
-        code = 0
-        for start in range(max(0, end - self.reach.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
-            code = ids.get(word[start:end])
-            if code is None:
-                if end - start > 1:
-                    continue
-                code = len(self.text) + ord(word[start])
-            key = last[start] * _CODES + code
-            found = pairs.get(key)
-            if found or found is None and self._follows(key):
-                return code, end - start
-        return code, 1
-
     def learn(self, words: set[str]) -> None:
         """Ids of all these words: one walk over their trie."""
-        before, last, sizes, total = "", [_CODES - 1], [0], [0.0]
+        before, last, sizes_of, total = "", [_CODES - 1], [0], [0.0]
+        reach, short, ids_of, pairs, letters = self.reach.get, self.short.get, self.id.get, self.pairs.get, len(self.text)
         bpe = self.kind == "bpe"
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], sizes[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], sizes_of[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                if bpe:
-                    code, size = self._only(word, end, last)
+                if bpe:  # the last piece of the merge result of the letters up to here
+                    sizes = reach(word[end - 4 : end]) if end > 3 else None
+                    if sizes is None:  # no piece of four or more letters ends so
+                        sizes = short(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1) if end == 2 else (1,)
+                    for size in sizes:
+                        if size > end:
+                            continue
+                        code = ids_of(word[end - size : end])
+                        if code is None:
+                            if size > 1:
+                                continue
+                            code = letters + ord(word[end - 1])
+                        key = last[end - size] * _CODES + code
+                        found = pairs(key)
+                        if found or found is None and self._follows(key):
+                            break
                 else:
                     piece, s = self._best(word, end, total)
-                    code, size = self.id.get(piece, len(self.text) + ord(piece[0])), len(piece)
+                    code, size = self.id.get(piece, letters + ord(piece[0])), len(piece)
                     total.append(s)
                 last.append(code)
-                sizes.append(size)
+                sizes_of.append(size)
             before, ids, end = word, [], len(word)
             while end:
                 code = last[end]
@@ -141,7 +145,7 @@ class Pieces:
                 else:
                     letter = chr(code - len(self.text)).encode("utf-8", "replace")
                     ids += [self.byte.get(b, self.unknown) for b in reversed(letter)] if self.byte else [self.unknown]
-                end -= sizes[end]
+                end -= sizes_of[end]
             ids.reverse()
             self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
